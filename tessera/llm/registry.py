@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing
+from tessera.llm import mixing, packing, secrets
 
 
 def queries() -> dict:
-    return {"op10_best_fit_packing": packing.op10_best_fit_packing}
+    return {
+        "op3_entropy_mixing": mixing.op3_entropy_mixing,
+        "op7_credential_linking": secrets.op7_credential_linking,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
