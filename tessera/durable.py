@@ -56,4 +56,11 @@ atexit.register(_remove)
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate, used to choose partition counts; at least 1."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+
+
+def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
+    """Enough partitions for ``bytes_each`` of input each; the session's number at least, and where the size is unknown."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    return least if size >= 1 << 60 else max(least, size // bytes_each)
