@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, secrets
+from tessera.llm import jaccard, media, mixing, packing, pii, quality, secrets, urls
 
 
 def queries() -> dict:
     return {
+        "op2_crf_quality": quality.op2_crf_quality,
         "op3_entropy_mixing": mixing.op3_entropy_mixing,
+        "op4_jaccard_join": jaccard.op4_jaccard_join,
+        "op5_host_segmentation": urls.op5_host_segmentation,
+        "op6_audio_features": media.op6_audio_features,
         "op7_credential_linking": secrets.op7_credential_linking,
+        "op8_deobfuscated_pii": pii.op8_deobfuscated_pii,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
