@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 from tessera.durable import durable
 
 
-def with_uid(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Adds ``_uid`` (long): the id itself where ids are unique and not null, else the row's place by id (nulls last) and ``order``."""
+def with_uid(df: DataFrame, id_col: str, order: list[str]) -> tuple[DataFrame, bool]:
+    """Adds ``_uid`` (long): the id itself where ids are unique and not null, else the row's place by id (nulls last) and ``order``; and which of both."""
     ids = df.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count("*").alias("n"))
     if ids.filter("n > 1 or i is null").isEmpty():
-        return df.withColumn("_uid", F.col(id_col).cast("long"))
+        return df.withColumn("_uid", F.col(id_col).cast("long")), True
     ranked = df.orderBy(F.col(id_col).cast("long").asc_nulls_last(), *order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return durable(df.sparkSession.createDataFrame(ranked, T.StructType([*df.schema.fields, T.StructField("_uid", T.LongType())])))
+    return durable(df.sparkSession.createDataFrame(ranked, T.StructType([*df.schema.fields, T.StructField("_uid", T.LongType())]))), False
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

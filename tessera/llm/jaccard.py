@@ -245,7 +245,7 @@ def verified(work: DataFrame, threshold: float) -> DataFrame:
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (least id of the component), n_links (documents linked directly), n_copies (equal sets, itself included), and _uid."""
     bands, rows = bands_for(threshold, recall)
-    t = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", ["text"])
+    t, same = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", ["text"])
     parts = partitions_for(t)
     sig = durable(signatures(t.select("_uid", "text"), n, bands, rows))
     nodes = durable(sig.filter("digest is not null").groupBy("digest").agg(F.min("_uid").alias("node"), F.count("*").alias("n")))
@@ -279,12 +279,13 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     root = components(found.filter("b is not null"))
     node = nodes.join(links, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    result = sig.select("_uid", "digest").join(node.select("digest", "root", "n", "links"), "digest", "left")
-    own = t.select("_uid", "doc_id")
-    final = own.join(result, "_uid").select("_uid", "doc_id", "root", "n", "links")
-    least = own.select(F.col("_uid").alias("root"), F.col("doc_id").alias("class_id"))
+    final = sig.select("_uid", "digest").join(node.select("digest", "root", "n", "links"), "digest", "left").withColumn("root", F.coalesce("root", "_uid"))
     # the least row of a component has its least id
-    final = final.withColumn("root", F.coalesce("root", "_uid")).join(least, "root")
+    if same:
+        final = final.withColumns({"doc_id": F.col("_uid"), "class_id": F.col("root")})
+    else:
+        own = t.select("_uid", "doc_id")
+        final = final.join(own, "_uid").join(own.select(F.col("_uid").alias("root"), F.col("doc_id").alias("class_id")), "root")
     return final.select("doc_id", "class_id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n", F.lit(1)).alias("n_copies"), "_uid")
 
 

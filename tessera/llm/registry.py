@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, media, mixing, packing, pii, quality, secrets, urls
+from tessera.llm import jaccard, media, mixing, packing, pii, quality, secrets, substring, urls, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": substring.op1_suffix_dedup,
         "op2_crf_quality": quality.op2_crf_quality,
         "op3_entropy_mixing": mixing.op3_entropy_mixing,
         "op4_jaccard_join": jaccard.op4_jaccard_join,
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op6_audio_features": media.op6_audio_features,
         "op7_credential_linking": secrets.op7_credential_linking,
         "op8_deobfuscated_pii": pii.op8_deobfuscated_pii,
+        "op9_collision_counting": vectors.op9_collision_counting,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
