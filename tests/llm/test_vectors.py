@@ -49,7 +49,7 @@ def test_against_brute_force(spark, seed, block, monkeypatch):
 def test_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     docs = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [2.0, 0.0], 0), (0, [1.0, 0.0, 0.0], 0)], schema)
-    assert sorted((r.vec_id or -1, r.n_links) for r in vectors.near_dedup(docs).collect()) == [(-1, 2), (0, 0), (1, 2), (1, 2)]
+    assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links) for r in vectors.near_dedup(docs).collect()) == [(-1, 2), (0, 0), (1, 2), (1, 2)]
     assert vectors.near_dedup(spark.createDataFrame([], schema)).count() == 0
 
 
