@@ -289,6 +289,13 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     return final.select("doc_id", "class_id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n", F.lit(1)).alias("n_copies"), "_uid")
 
 
+def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` with the least id of their class, and all that have no n-gram."""
+    t, _ = with_uid(docs, id_col, [text_col])
+    first = jaccard_join(t.select(F.col("_uid").alias("doc_id"), F.col(text_col).alias("text")), **how).filter("doc_id = class_id").select(F.col("doc_id").alias("_uid"))
+    return t.join(first, "_uid", "left_semi").select(*docs.columns)
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document's class and number of near-duplicates: five words, similarity 0.8."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.durable import durable
+from tessera.llm.graph import with_uid
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -130,6 +131,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     return t.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(~F.col("s_null"), F.col("s")).alias("source"), "rate", "copies", "uid")
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    t, _ = with_uid(docs, id_col, [text_col])
+    taken = mix(t.select(F.col("_uid").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), **how)
+    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_uid"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_copy"))
+    return t.join(taken, "_uid").withColumn("_copy", F.explode("_copy")).select(*docs.columns)
+
+
 def op3_entropy_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: 150 % of all words, weights 5, 2, 1 repeating."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
