@@ -64,7 +64,8 @@ def tail_estimates(df: DataFrame, windows=(63, 252), quantiles=(0.01, 0.05), ret
     for n in windows:
         for q in quantiles:
             name = f"{int(q * 100):02d}_{n}"
-            tail = F.filter(f"_got_{n}", lambda x, c=F.col(f"var_{name}"): x <= c)
+            cut = F.col(f"var_{name}")
+            tail = F.filter(f"_got_{n}", lambda x: x <= cut)  # noqa: B023  used at once
             more[f"es_{name}"] = F.try_divide(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail))
     return df.withColumns(more).drop(*(f"_got_{n}" for n in windows))
 

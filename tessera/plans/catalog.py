@@ -5,19 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tessera.plans import feature_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = [feature_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return queries()["feature_realized_volatility"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.oracle_sql().items()}
