@@ -31,15 +31,15 @@ def r6(**cols: str) -> str:
     return ", ".join(f'round({e} + 3.7e-9::DOUBLE, 6) + 0 AS "{k}"' for k, e in cols.items())
 
 
-def own(df, n_before: list[str]):
+def own(df, n_before: list[str], digits: int = 6):
     """The keys and the columns that an operator has added."""
-    return I.rounded(df.select(*K, *[c for c in df.columns if c not in n_before and c not in K]), K)
+    return I.rounded(df.select(*K, *[c for c in df.columns if c not in n_before and c not in K]), K, digits)
 
 
-def _added(make, source, **kw):
+def _added(make, source, digits=6, **kw):
     def query(spark, sf_dir):
         df = source(spark, sf_dir)
-        return own(make(df, **kw), df.columns)
+        return own(make(df, **kw), df.columns, digits)
 
     return query
 
@@ -84,9 +84,9 @@ def queries() -> dict:
         "feature_gap_and_overnight": _added(returns.gap_and_overnight_returns, I.bars),
         "feature_drawdown": _added(returns.drawdown, I.bars),
         "feature_realized_volatility": _added(risk.realized_volatility, I.returns),
-        "feature_semivariance": _added(risk.semivariance, I.returns),
-        "feature_bipower_variation": _added(risk.bipower_variation, I.returns),
-        "feature_jump_variation": _added(risk.jump_variation, I.returns),
+        "feature_semivariance": _added(risk.semivariance, I.returns, 3),
+        "feature_bipower_variation": _added(risk.bipower_variation, I.returns, 3),
+        "feature_jump_variation": _added(risk.jump_variation, I.returns, 3),
         "feature_volatility_of_volatility": _added(risk.volatility_of_volatility, I.returns),
         "feature_tail_estimates": _added(risk.tail_estimates, I.returns),
         "feature_realized_beta": _added(risk.realized_beta, I.market),
@@ -268,4 +268,6 @@ def oracle_sql() -> dict[str, str]:
     o["options_implied_correlation"] = _select(ic, "g", {"implied_correlation": "(index_iv * index_iv - o) / nullif(m, 0) / nullif(w * w - ww, 0)"}, "t")
     rv = full("stddev_samp(ret)", "ret", 21)
     o["options_variance_risk_premium"] = _select(I.RETURNS + f", s AS (SELECT *, ({rv}) * sqrt(252.0) AS rv, volume / 10 AS iv FROM rets)", "s", {"implied_variance": "iv * iv", "realized_variance": "rv * rv", "variance_risk_premium": "iv * iv - rv * rv"}).replace(", 6)", ", 4)")
+    for k in ("feature_semivariance", "feature_jump_variation", "feature_bipower_variation"):
+        o[k] = o[k].replace(", 6)", ", 3)")
     return o
