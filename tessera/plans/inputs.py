@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import ASSET, div
 
-HOUR = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', ts)")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
