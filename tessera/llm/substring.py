@@ -47,7 +47,7 @@ HOT_RUN = 8
 #: Hashes that a task remembers as hot; beyond them each chunk reports anew.
 MEMORY = 1 << 20
 #: Bytes of input for each bucket of anchors, and of texts and segments.
-ANCHOR_BYTES, TEXT_BYTES = 1 << 20, 4 << 20
+ANCHOR_BYTES, TEXT_BYTES = 1 << 20, 2 << 20
 BUDGET = 256 << 20
 MARK = np.iinfo(np.int64).min
 ENTRY = ("<i8", "<i4", "<u1", "<u1", "<u8")
