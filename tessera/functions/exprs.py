@@ -69,8 +69,7 @@ ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
 
 
-def normal_cdf(x: Column) -> Column:
-    """The normal distribution as an expression; neither SQL engine has erf."""
+def _cdf(x: Column) -> Column:
     z = F.abs(x) / F.sqrt(F.lit(2.0))
     t = 1.0 / (1.0 + ERF_P * z)
     poly = F.lit(ERF[4])
@@ -80,5 +79,13 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution as an expression; neither SQL engine has erf.
+
+    The argument is bound once, as its many uses would make generated code too long.
+    """
+    return F.get(F.transform(F.array(x), _cdf), F.lit(0))
+
+
 def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2.0) / F.sqrt(2.0 * F.pi())
