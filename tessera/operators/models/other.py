@@ -105,7 +105,7 @@ def jump_segmentation(x: np.ndarray, k: int = 2, penalty: float | np.ndarray = 5
 
 
 def kalman_switching(y: np.ndarray, models: list[dict], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interacting multiple models: mode probabilities and the mixed state's mean. models: A, Q, C, R."""
+    """Interacting multiple models: mode probabilities and the mixed state's mean. models: A, b, Q, C, R."""
     k, d = len(models), models[0]["A"].shape[0]
     mean, cov, mode = np.zeros((k, d)), np.stack([np.eye(d)] * k), np.full(k, 1 / k)
     probs, states = [], []
@@ -117,7 +117,7 @@ def kalman_switching(y: np.ndarray, models: list[dict], moves: np.ndarray) -> tu
         mc = np.stack([sum(w[i, j] * (cov[i] + np.outer(mean[i] - mm[j], mean[i] - mm[j])) for i in range(k)) for j in range(k)])
         like = np.empty(k)
         for j, m in enumerate(models):
-            x, p = m["A"] @ mm[j], m["A"] @ mc[j] @ m["A"].T + m["Q"]
+            x, p = m["A"] @ mm[j] + m.get("b", 0.0), m["A"] @ mc[j] @ m["A"].T + m["Q"]
             s = m["C"] @ p @ m["C"].T + m["R"] + 1e-9 * np.eye(len(row))
             e = row - m["C"] @ x
             gain = np.linalg.solve(s, m["C"] @ p).T
@@ -144,10 +144,14 @@ def switching_lds(x: np.ndarray, k: int = 2, seed: int = 0, factors: int | None
     np.add.at(moves, (lab[:-1], lab[1:]), 1)
     for j in range(k):
         at = np.flatnonzero(lab[1:] == j) + 1
-        a = np.linalg.lstsq(y[at - 1], y[at], rcond=None)[0].T if len(at) > d else 0.5 * np.eye(d)
-        e = y[at] - y[at - 1] @ a.T if len(at) > d else y - y.mean(0)
+        if len(at) > d + 1:
+            coef = np.linalg.lstsq(np.column_stack([y[at - 1], np.ones(len(at))]), y[at], rcond=None)[0]
+            a, b = coef[:-1].T, coef[-1]
+            e = y[at] - y[at - 1] @ a.T - b
+        else:
+            a, b, e = 0.5 * np.eye(d), np.zeros(d), y - y.mean(0)
         q = np.atleast_2d(np.cov(e, rowvar=False)) + 1e-4 * np.eye(d) if len(e) > 1 else np.eye(d)
-        models.append({"A": a, "Q": q, "C": np.eye(d), "R": 0.1 * np.diag(np.diag(q)) + 1e-6 * np.eye(d)})
+        models.append({"A": a, "b": b, "Q": q, "C": np.eye(d), "R": 0.1 * np.diag(np.diag(q)) + 1e-6 * np.eye(d)})
     return kalman_switching(y, models, moves / moves.sum(1, keepdims=True))[0]
 
 
