@@ -199,7 +199,10 @@ class Forest:
 
 
 def verified(work: DataFrame, threshold: float) -> DataFrame:
-    """work: cluster, i, j, block, _uid, n, bands, grams, in groups of cluster, i and j. Rows: node with links, or edge a-b."""
+    """work: cluster, i, j, block, _uid, n, bands, grams, blocks, in groups of cluster, i and j.
+
+    Rows: a with its links; or a and its root b (links -1), where the group is whole in one block; or an edge a-b (links 0).
+    """
 
     def close(rows, i, j):
         rows.sort(key=lambda r: (r[0] != i, r[1]))
@@ -220,13 +223,16 @@ def verified(work: DataFrame, threshold: float) -> DataFrame:
                 links[ys] += n[x]
                 edges += [(x, y) for y in ys.tolist() if forest.join(x, y)]
         uid = [r[1] for r in kept]
-        return [(uid[k], None, int(links[k])) for k in np.flatnonzero(links)] + [(uid[x], uid[y], 0) for x, y in edges]
+        out = [(uid[k], None, int(links[k])) for k in np.flatnonzero(links)]
+        if kept[0][5] == 1:
+            return out + [(uid[k], uid[forest.find(k)], -1) for k in np.flatnonzero(links)]
+        return out + [(uid[x], uid[y], 0) for x, y in edges]
 
     def run(batches):
         key, rows = None, []
         for batch in batches:
             out = []
-            for r in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
                 if r[:3] != key:
                     if len(rows) > 1:
                         out += close(rows, *key[1:])
@@ -272,12 +278,15 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
     made = work.mapInArrow(grams, "cluster long, blocks int, block int, _uid long, n long, bands binary, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = made.withColumn("o", other).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "_uid", "n", "bands", "grams")
+    dealt = made.withColumn("o", other).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "_uid", "n", "bands", "grams", "blocks")
     dealt = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     found = durable(verified(dealt, threshold))
 
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    root = components(found.filter("b is not null"))
+    root = found.filter("links = -1").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    apart = found.filter("links = 0 and b is not null")
+    if not apart.isEmpty():
+        root = root.unionByName(components(apart))
     node = nodes.join(links, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     final = sig.select("_uid", "digest").join(node.select("digest", "root", "n", "links"), "digest", "left").withColumn("root", F.coalesce("root", "_uid"))
     # the least row of a component has its least id
