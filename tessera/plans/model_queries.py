@@ -139,7 +139,7 @@ def _series(label, features=("close", "volume")):
 
 def _hmm(name, **changes):
     def query(s, d):
-        b = _small(s, d).join(I.bars(s, d).select(*K, "users"), K)
+        b = _small(s, d)
         inputs = ("users",) if name == "input-output-hmm" else ()
         return hmm.run_series(b, ["ret"], hmm.variant(name, iterations=10, restarts=1, inputs=inputs, **changes))
 
