@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import feature_queries, metric_queries, model_queries
+from tessera.plans import evaluation_queries, feature_queries, metric_queries, model_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [feature_queries, metric_queries, model_queries]
+PARTS = [feature_queries, metric_queries, model_queries, evaluation_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
