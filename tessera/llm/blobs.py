@@ -16,7 +16,9 @@ SCHEMA = "bucket int, kind int, blob binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    raw = b"".join(struct.pack("<q", c.nbytes) + c.tobytes() for c in columns)
+    """Numbers go byte by byte, all first bytes first, as their upper bytes are alike."""
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T for c in columns)
+    raw = b"".join(struct.pack("<q", p.size) + p.tobytes() for p in planes)
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -25,7 +27,9 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
         (n,) = struct.unpack_from("<q", raw, at)
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n, at + 8)
+        out.append(planes if size == 1 else np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1))
         at += 8 + n
     return out
 

@@ -50,7 +50,21 @@ MEMORY = 1 << 20
 ANCHOR_BYTES, TEXT_BYTES = 1 << 20, 2 << 20
 BUDGET = 256 << 20
 MARK = np.iinfo(np.int64).min
-ENTRY = ("<i8", "<i4", "<u1", "<u1", "<u8")
+#: Bytes of a hash that are kept; within a bucket they tell anchors apart, and a mistake only adds a segment.
+KEPT = 5
+
+
+def pack_entries(u, first, more, place, h, *warm) -> bytes:
+    """Documents as differences, as they come in order, and the lower bytes of the hashes."""
+    low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].T)
+    return blobs.pack(np.diff(u.astype("<i8"), prepend=np.int64(0)), first.astype("<i4"), more, place, low.reshape(-1), *warm)
+
+
+def unpack_entries(blob: bytes, warm: bool) -> list[np.ndarray]:
+    d, first, more, place, low, *rest = blobs.unpack(blob, "<i8", "<i4", "u1", "u1", "u1", *["u1"] * warm)
+    h = np.zeros((len(d), 8), np.uint8)
+    h[:, :KEPT] = low.reshape(KEPT, -1).T
+    return [np.cumsum(d), first, more, place, h.view("<u8").reshape(-1), *rest]
 
 
 class Anchors:
@@ -179,12 +193,12 @@ def repeated_anchors(t: DataFrame, length: int, inner: int, n_anchor: int, n_doc
                 one = ~twice
                 cols = (u, first, more, place, h)
                 for k, c in blobs.split(b[one].astype(np.int64), *(c[one] for c in cols)):
-                    out.append((k, 0, blobs.pack(*c)))
+                    out.append((k, 0, pack_entries(*c)))
                 for k, (c,) in blobs.split(((marks >> np.uint64(20)) % np.uint64(n_anchor)).astype(np.int64), marks):
                     none = np.zeros(len(c), "<i8")
-                    out.append((k, 0, blobs.pack(none + MARK, none.astype("<i4"), none.astype("<u1"), none.astype("<u1"), c)))
+                    out.append((k, 0, pack_entries(none + MARK, none, none.astype("<u1"), none.astype("<u1"), c)))
                 for k, c in blobs.split(n_anchor + bucket_of(u[twice], n_docs), *(c[twice] for c in cols)):
-                    out.append((k, 1, blobs.pack(*c, np.ones(len(c[0]), "<u1"))))
+                    out.append((k, 1, pack_entries(*c, np.ones(len(c[0]), "<u1"))))
             yield blobs.rows(out)
 
     def count(batches):
@@ -193,12 +207,12 @@ def repeated_anchors(t: DataFrame, length: int, inner: int, n_anchor: int, n_doc
                 for _, v in found:
                     yield blobs.rows([(bucket - n_anchor, 0, v)])
                 continue
-            cols = [np.concatenate(c) for c in zip(*(blobs.unpack(v, *ENTRY) for _, v in found), strict=True)]
+            cols = [np.concatenate(c) for c in zip(*(unpack_entries(v, False) for _, v in found), strict=True)]
             _, which, n = np.unique(cols[4], return_inverse=True, return_counts=True)
             marked = np.bincount(which, weights=cols[0] == MARK)
             warm, again = ((marked > 0) | (n >= hot))[which], (n > 1)[which] & (cols[0] != MARK)
             cols = [c[again] for c in (*cols, warm.astype("<u1"))]
-            yield blobs.rows([(b, 0, blobs.pack(*c)) for b, c in blobs.split(bucket_of(cols[0], n_docs), *cols)])
+            yield blobs.rows([(b, 0, pack_entries(*c)) for b, c in blobs.split(bucket_of(cols[0], n_docs), *cols)])
 
     return blobs.dealt(t.select("_uid", "text").mapInArrow(report, blobs.SCHEMA), partitions).mapInArrow(count, blobs.SCHEMA)
 
@@ -228,7 +242,7 @@ def segments(entries: DataFrame, texts: DataFrame, length: int, n_shards: int, n
             size = 0
             for kind, v in found:
                 if kind == 0:
-                    held.append(blobs.unpack(v, *ENTRY, "<u1"))
+                    held.append(unpack_entries(v, True))
                     continue
                 if cols is None:
                     if not held:
