@@ -36,7 +36,7 @@ RECALL = 0.999999
 MOST_HASHES = 128
 #: Classes in a block of a large candidate group.
 BLOCK = 1024
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 

@@ -50,10 +50,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
         if ranks_path:
             import tiktoken
 
@@ -67,6 +64,10 @@ class Encoder:
             if hasattr(core, "encode_to_tiktoken_buffer"):
                 return bytes(core.encode_to_tiktoken_buffer(text, set()))
             return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
+        if self.slow is None:  # most tasks need it not, and it is large
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 

@@ -28,7 +28,7 @@ THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 STEPS = 150
 #: Bytes of text that are turned into features at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 NAMES = ["upper", "digit", "stop", "symbol", "wide", "space", "word", "length", "words", "again", "again2", "same", "edge", "symbols_per_word", "caps"]
 
