@@ -30,8 +30,10 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 HEX_HINT = r"[0-9a-f]{24}"
 IDENT = r"""(?i:client_?id|account_?id|access_?key_?id|user_?name|user)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
-BARE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_=.-])"
-ENDPOINT = r"(?i)(?<![a-z0-9._-])(?:[a-z][a-z0-9+]{1,15}://[^\x00-\x20\"'<>]{4,512}|[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}\.(?:com|net|org|io|dev|cloud)(?![a-z0-9-]))"
+#: Whole runs, with base64 padding; the name in ``NAME=value`` is none.  After a dot only the parts of dotted tokens, as a path follows a host's dot.
+BARE = r"""(?:(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,}+|(?<=\.)[A-Za-z0-9_-]{32,}+(?![+/]))(?:={1,2}(?!=|["']?[A-Za-z0-9+/_-])|(?!=))"""
+#: URLs, dotted names under any top-level domain, IP addresses and localhost; the scope join decides which of them count.
+ENDPOINT = r"""(?i)(?<![\p{L}\p{N}._-])(?:[a-z][a-z0-9+.-]*+://[^\x00-\x20"'<>]{4,}+|[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++(?<=\.\p{L}[\p{L}\p{N}-]{1,62})(?![@_])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}_-]|\.[0-9])|\[[0-9a-f]*+:[0-9a-f:.]++\]|localhost(?![\p{L}\p{N}._-]))"""
 SCOPE = 300
 #: Positions are added up in runs, so that appending stays cheap in texts with very many matches.
 RUN = 256
@@ -85,7 +87,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     ids = F.concat("access", "weak_id")
     # a base span reported already, or the identifier itself, is no weak secret
     over = lambda s, others: F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    bare = F.filter("bare", lambda s: ~over(s, F.concat("assign", "access", "hex")))
+    bare = F.filter("bare", lambda s: ~over(s, F.concat("assign", "access", "hex", "weak_id")))
     linked = F.filter(bare, lambda s: F.exists(ids, lambda i: near(s, i, scope)))
     t = t.withColumn("linked", F.when(has_id, linked).otherwise(none))
     proofs = F.concat("assign", "hex", "linked")
