@@ -38,13 +38,17 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 GLYPHS = {c: k for k, cs in LOOKALIKES.items() for c in cs} | {chr(0xFEE0 + k): chr(k) for k in range(0x21, 0x7F)} | dict.fromkeys(INVISIBLE, "")
-#: Dashes stand in ordinary prose, so they alone are no sign of a disguise.
-SIGN = re.compile("[" + "".join(re.escape(c) for c in GLYPHS if GLYPHS[c] != "-") + "]")
+GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
 WORDS = "|".join(SPELLED)
 DIGITS = re.compile(rf"(?i)\b(?:{WORDS})(?:[\x20-]{{1,2}}(?:{WORDS}))+\b")
 AT = re.compile(r"(?i)\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?")
 DOT = re.compile(r"(?i)\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?")
-SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>\x20at\x20)[A-Za-z0-9-]{1,63}(?P<rest>(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,6})")
+SPOKEN_AT = re.compile(r"(?i)\x20at\x20")
+SPOKEN_DOT = re.compile(r"(?i)\x20dot\x20")
+#: What may follow an "at", whatever form each of its dots has.
+AFTER = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20|{DOT.pattern[4:]})[A-Za-z0-9-]++)++")
+#: Prose says "at site.org" too, so that an "at" as the only disguise needs a name that is no plain word.
+NAME = re.compile(r"[A-Za-z0-9%+-]*+[0-9._%+][A-Za-z0-9._%+-]*[A-Za-z0-9]")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -118,20 +122,48 @@ def _twice(first: list[tuple[int, int, str]], second: list[tuple[int, int, str]]
     return sorted(taken + mapped)
 
 
+def spoken(text: str, low: str, ats: list[tuple[int, int]], dots: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Edits of each spoken sign in an address whose other signs may be plain, bracketed or spoken."""
+    said = [m.span() for m in SPOKEN_DOT.finditer(text)] if " dot " in low else []
+    heard = [m.span() for m in SPOKEN_AT.finditer(text)] if " at " in low else []
+    if not said and not heard:
+        return []
+    out, last, before, heard_at, said_at = [], 0, {b: a for a, b in [*dots, *said]}, set(heard), set(said)
+    plain = [(m.start(), m.end()) for m in re.finditer("@", text)] if said else []
+    for a, b in sorted({*heard, *ats, *plain}):
+        if a < last or a == 0 or text[a - 1] not in LOCAL:
+            continue
+        m, start, names = AFTER.match(text, b), a, []
+        while start > last:
+            while start > last and text[start - 1] in LOCAL:
+                start -= 1
+            dot = before.get(start, start)
+            if dot <= last or dot == start or text[dot - 1] not in LOCAL:
+                break
+            names.append((dot, start))
+            start = dot
+        last = b
+        if m is None:
+            continue
+        signs = [x.span() for x in SPOKEN_DOT.finditer(text, b, m.end())]
+        shown = names or signs or DOT.search(text, b, m.end()) or NAME.fullmatch(text, start, a)
+        if (a, b) not in heard_at or shown:
+            out += [(a, b, "@")] * ((a, b) in heard_at) + [(*x, ".") for x in [*names, *signs] if x in said_at]
+        last = m.end()
+    return out
+
+
 def deobfuscate(text: str) -> Rewritten | None:
     """The text without disguises, or None where it shows none."""
-    glyphs = [(m.start(), m.end(), GLYPHS[m[0]]) for m in re.finditer("[" + re.escape("".join(GLYPHS)) + "]", text)] if not text.isascii() and SIGN.search(text) else []
+    glyphs = [(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)] if not text.isascii() else []
     mid = Rewritten(text, glyphs)
     low, edits = mid.text.lower(), []
     if any(f"{w} " in low or f"{w}-" in low for w in SPELLED):
         for m in DIGITS.finditer(mid.text):
             edits.append((*m.span(), "".join(SPELLED[w] for w in re.split(r"[ -]+", m[0].lower()))))
     if "at" in low or "@" in low:
-        signs = [(*m.span(), "@") for m in AT.finditer(mid.text)] + [(*m.span(), ".") for m in DOT.finditer(mid.text)]
-        if " dot " in low:
-            for m in SPOKEN.finditer(mid.text):
-                signs.append((*m.span("at"), "@"))
-                signs += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in re.finditer(r"(?i)\x20dot\x20", m["rest"])]
+        ats, dots = ([m.span() for m in sign.finditer(mid.text)] for sign in (AT, DOT))
+        signs = [(*x, "@") for x in ats] + [(*x, ".") for x in dots] + spoken(mid.text, low, ats, dots)
         edits += signs
     merged = []
     for e in sorted(edits):

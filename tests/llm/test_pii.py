@@ -50,6 +50,34 @@ def test_disguises(text, kind, part):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("card 4111\u20111111\u20111111\u20111111 end", 2, "4111\u20111111\u20111111\u20111111"),
+    ("call +1 269\u2013555\u20133296 ok", 3, "+1 269\u2013555\u20133296"),
+    ("mail joe@my\u2010site.org now", 0, "joe@my\u2010site.org"),
+    ("mail joe [at] site dot org now", 0, "joe [at] site dot org"),
+    ("mail joe at site [dot] org now", 0, "joe at site [dot] org"),
+    ("mail joe@site dot org now", 0, "joe@site dot org"),
+    ("mail joe@site [dot] co dot uk now", 0, "joe@site [dot] co dot uk"),
+    ("mail joe (at) site.org now", 0, "joe (at) site.org"),
+    ("mail joe.doe at site.org now", 0, "joe.doe at site.org"),
+    ("mail joe dot doe at site.org now", 0, "joe dot doe at site.org"),
+    (f"mail joe at {'s' * 70} dot {' dot '.join('abcdefgh')} now", 0, f"joe at {'s' * 70} dot {' dot '.join('abcdefgh')}"),
+    (f"mail {'j' * 70} at site dot org now", 0, f"{'j' * 70} at site dot org"),
+])
+def test_mixed_disguises(text, kind, part):
+    assert part in [text[a:b] for k, a, b in pii.all_spans(text)[1] if k == kind]
+
+
+@pytest.mark.parametrize("text", ["look at example.com for more", "at site dot", "years 1990\u20131995 \u2013 see at home", "the dot com at last"])
+def test_prose_is_no_disguise(text):
+    assert pii.all_spans(text)[1] == []
+
+
+def test_long_mixed_text_is_linear():
+    for bit in ("x at a dot ", "a dot ", "a@", "a at ", "a [dot] ", "a at a."):
+        pii.all_spans(bit * 40_000)
+
+
 def test_frame(spark):
     data = [(1, None, "x"), (2, "", "y"), (3, "a@b.co +1 (269) 555-3296", "z"), (3, "a@b.co +1 (269) 555-3296", "z")]
     docs = spark.createDataFrame(data, "doc_id long, text string, spans string")
