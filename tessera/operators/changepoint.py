@@ -138,22 +138,21 @@ def bayesian_online(x: np.ndarray, hazard: float = 0.01, threshold: float = 0.5,
     """Student-t run lengths; the score is the probability that the run is at most ``short`` rows long.
 
     The probability of a run of length 0 is the hazard itself, whatever the data,
-    so it is no score; a short run gathers probability only after a change.
+    so it is no score; a short run gathers probability only after a change.  Every run
+    length is kept, so the work grows with the square of the rows.
     """
     scale = max(x[: max(least, 2)].var(), 1e-6)
     p, mu, kappa, a, b = np.ones(1), np.zeros(1) + x[0], np.ones(1), np.ones(1), np.full(1, scale)
-    scores, cuts, lg = np.zeros(len(x)), [], np.vectorize(math.lgamma, otypes=[float])
+    # a run's shape is 1 and a half for each of its rows
+    scores, cuts, lg = np.zeros(len(x)), [], np.array([math.lgamma(1 + k / 2) for k in range(len(x) + 1)])
     for i, v in enumerate(x):
         df, s2 = 2 * a, b * (kappa + 1) / (a * kappa)
-        log = lg((df + 1) / 2) - lg(df / 2) - 0.5 * np.log(df * math.pi * s2) - (df + 1) / 2 * np.log1p((v - mu) ** 2 / (df * s2))
+        log = lg[1 : i + 2] - lg[: i + 1] - 0.5 * np.log(df * math.pi * s2) - (df + 1) / 2 * np.log1p((v - mu) ** 2 / (df * s2))
         like = np.exp(log - log.max()) * p
         p = np.concatenate([[like.sum() * hazard], like * (1 - hazard)])
         p /= p.sum()
         mu, b = np.concatenate([[x[0]], (kappa * mu + v) / (kappa + 1)]), np.concatenate([[scale], b + kappa * (v - mu) ** 2 / (2 * (kappa + 1))])
         kappa, a = np.concatenate([[1.0], kappa + 1]), np.concatenate([[1.0], a + 0.5])
-        if len(p) > 512:
-            p, mu, kappa, a, b = (z[:512] for z in (p, mu, kappa, a, b))
-            p = p / p.sum()
         scores[i] = p[: short + 1].sum()
         if i >= least and scores[i] >= threshold and (not cuts or i - cuts[-1] > least):
             cuts.append(max(0, i - short))

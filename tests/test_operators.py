@@ -32,6 +32,25 @@ def test_detectors_find_a_jump(method):
     assert any(95 <= c <= 110 for c in cuts)
 
 
+def test_bayesian_online_keeps_every_run_length():
+    import math
+
+    x = np.random.default_rng(9).normal(size=700)
+    scale, hazard, want = x[:10].var(), 0.01, []
+    logp, runs = np.zeros(1), [(x[0], 1.0, 1.0, scale)]
+    for v in x:
+        like = []
+        for m, k, a, b in runs:
+            s2, df = b * (k + 1) / (a * k), 2 * a
+            like.append(math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(df * math.pi * s2) - (a + 0.5) * math.log1p((v - m) ** 2 / (df * s2)))
+        w = logp + like
+        logp = np.concatenate([[np.logaddexp.reduce(w) + math.log(hazard)], w + math.log(1 - hazard)])
+        logp -= np.logaddexp.reduce(logp)
+        runs = [(x[0], 1.0, 1.0, scale)] + [((k * m + v) / (k + 1), k + 1, a + 0.5, b + k * (v - m) ** 2 / (2 * (k + 1))) for m, k, a, b in runs]
+        want.append(np.exp(logp[:4]).sum())
+    assert np.allclose(changepoint.bayesian_online(x)[0], want, rtol=0, atol=1e-9)
+
+
 def test_partition_is_optimal():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(m, 0.3, 12) for m in (0, 2, -1)])
