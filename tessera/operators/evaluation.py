@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,20 +18,28 @@ from tessera.operators.models import hmm
 TASK_LOSSES = {"equity_return": "mse", "realized_volatility": "qlike", "correlation": "mse", "tail_event": "brier", "cross_sectional_ranking": "negative_spearman", "factor_timing": "mse"}
 
 
-def walk_forward(df: DataFrame, features: list[str], plan: list[splits.Split], n: int, config: hmm.Config = hmm.Config(), time: str = "t") -> DataFrame:
-    """One series: a task for each split fits on training rows and filters through the tested ones.
+def walk_forward(df: DataFrame, features: list[str], make: Callable[[int], Iterable[splits.Split]], config: hmm.Config = hmm.Config(), key: str = "asset", time: str = "t") -> DataFrame:
+    """A task for each entity and split fits on training rows and filters through the tested ones.
 
-    split, t, role, state and filtered probabilities of the validation and test rows.
+    ``make`` plans the splits of a series from its number of rows.  key, split, t, role,
+    state and filtered probabilities of the validation and test rows.
     """
-    kind = dict(df.dtypes)[time]
-    at = splits.assign(splits.with_positions(df.select(time, *features), time), plan, n)
+    kinds = dict(df.dtypes)
+    cols = list(dict.fromkeys([*features, *config.inputs]))
+
+    def deal(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(time)
+        parts = [g.assign(split=k, role=s.roles(len(g))).dropna(subset=["role"]) for k, s in enumerate(make(len(g)))]
+        return pd.concat(parts) if parts else g.iloc[:0].assign(split=0, role="")
+
+    at = df.select(key, time, *[F.col(c).cast("double") for c in cols]).groupBy(key).applyInPandas(deal, f"{key} {kinds[key]}, {time} {kinds[time]}, {''.join(f'{c} double, ' for c in cols)}split int, role string")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(time)
         x, ok = hmm.design(g, features, config)
         train = ok & (g["role"] == "train").to_numpy()
         held = ok & ~train
-        out = pd.DataFrame({"split": g["split"][held], time: g[time][held], "role": g["role"][held]})
+        out = pd.DataFrame({key: g[key][held], "split": g["split"][held], time: g[time][held], "role": g["role"][held]})
         if train.sum() <= 2 * config.states or not held.any():
             return out.iloc[:0].assign(state=pd.Series(dtype="int32"), probabilities=pd.Series(dtype=object))
         p = hmm.fit(x[train], config)
@@ -38,7 +47,7 @@ def walk_forward(df: DataFrame, features: list[str], plan: list[splits.Split], n
         got = f[held[ok]]
         return out.assign(state=got.argmax(1).astype("int32"), probabilities=[r.tolist() for r in got])
 
-    return at.groupBy("split").applyInPandas(run, f"split int, {time} {kind}, role string, state int, probabilities array<double>")
+    return at.groupBy(key, "split").applyInPandas(run, f"{key} {kinds[key]}, split int, {time} {kinds[time]}, role string, state int, probabilities array<double>")
 
 
 def regime_baselines(df: DataFrame, ret: str = "ret", state: str = "state", window: int = 20, p: Panel = ASSET) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,16 @@ class Split:
             return []
         return [(max(0, a - self.embargo), min(n, b + self.embargo)) for a, b in (self.validation, self.test) if b > a]
 
+    def roles(self, n: int) -> np.ndarray:
+        """The role of each of a series' n rows, None where it has none; the same as ``assign`` gives."""
+        out = np.full(n, None, object)
+        out[slice(*self.train)] = "train"
+        for a, b in self.blocked(n):
+            out[a:b] = None
+        out[slice(*self.validation)] = "validation"
+        out[slice(*self.test)] = "test"
+        return out
+
     def execution(self, n: int) -> tuple[int, int]:
         return min(n, self.test[0] + self.delay), min(n, self.test[1] + self.delay)
 

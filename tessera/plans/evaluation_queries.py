@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, splits
-from tessera.operators.models import hmm
 from tessera.plans import inputs as I
 from tessera.plans.feature_queries import K, r6
 from tessera.plans.metric_queries import SMALL, _small
@@ -38,10 +37,9 @@ def _paired(s, d):
 
 
 def _walk(s, d):
-    r = _small(s, d).filter("asset = 'click' and ret is not null")
-    n = r.count()
-    plan = list(splits.ExpandingWindow(max(20, n // 3), max(5, n // 10), max(10, n // 6)).split(n))
-    return evaluation.walk_forward(r, ["ret"], plan, n, hmm.Config(iterations=10, restarts=1)).select("split", "t", "role", "state")
+    r = _small(s, d).filter("ret is not null")
+    make = lambda n: splits.ExpandingWindow(max(20, n // 3), max(5, n // 10), max(10, n // 6)).split(n)
+    return evaluation.walk_forward(r, ["ret"], make).select("asset", "split", "t", "role", "state")
 
 
 def queries() -> dict:

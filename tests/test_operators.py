@@ -116,6 +116,30 @@ def test_splits_never_leak():
     assert all(s.test[1] <= 50 for s in inner)
 
 
+def test_walk_forward_takes_every_series(spark):
+    from tessera.operators import evaluation
+
+    rng, plan = np.random.default_rng(8), splits.purged(40, 10, 15, embargo=2)
+    rows = [(a, t, float(x)) for a, n in (("a", 90), ("b", 120), ("c", 30)) for t, x in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "asset string, t long, x double")
+    got = {(r.asset, r.split, r.t, r.role) for r in evaluation.walk_forward(df, ["x"], plan.split).collect()}
+    want = set()
+    for a, n in (("a", 90), ("b", 120), ("c", 30)):
+        at = splits.assign(splits.with_positions(df.filter(F.col("asset") == a)), list(plan.split(n)), n) if n > 65 else None
+        want |= {(a, r.split, r.t, r.role) for r in at.collect() if r.role != "train"} if at else set()
+        assert all([s.roles(n)[r.t] for s in [list(plan.split(n))[r.split]]] == [r.role] for r in at.collect()) if at else True
+    assert got == want and {k[0] for k in got} == {"a", "b"}
+
+
+def test_walk_forward_query_covers_all_series(spark):
+    from tessera.plans import catalog
+    from tessera.plans import inputs as I
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.asset for r in catalog.queries()["eval_walk_forward"](spark, sf).select("asset").distinct().collect()}
+    assert got == {r.asset for r in I.bars(spark, sf).select("asset").distinct().collect()}
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     mk = lambda n: [("a", int(s), int(s + w)) for s, w in zip(rng.integers(0, 900, n), rng.integers(0, 150, n), strict=True)]
