@@ -87,9 +87,10 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     np.add.at(total, line, mark) if len(first) else None
     same = np.zeros(len(ends), np.float32)
     same[1:] = (total[1:] == total[:-1]) & (length[1:] == length[:-1]) & (length[1:] > 0)
+    lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    same[np.cumsum(lines) - lines] = 0  # a text's first line has none before it
     letters = np.bincount(line, weights=(last - first).astype(np.float64), minlength=len(ends)).astype(np.float32)
     x = np.stack([upper / one, digit / one, stop / one, symbol / one, wide / one, space / one, np.minimum(letters / some, 30) / 10, np.log1p(length).astype(np.float32), np.log1p(words), count(again) / some, count(again2) / some, same, count(odd_end) / some, symbol / some, count(caps) / some], 1)
-    lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
     return x.astype(np.float32), length, lines
 
 

@@ -36,6 +36,15 @@ def test_features_do_not_depend_on_the_batch():
     assert length.tolist() == [len(line) for t in texts for line in t.split(b"\n")]
 
 
+def test_a_batch_scores_like_its_single_texts():
+    texts = [b"Same line here.", b"Same line here.", b"x\nSame line here.", b"Same line here.\nSame line here.", b"", b"Other words."] * 3
+    x, length, lines = quality.line_features(texts)
+    assert np.array_equal(x, np.concatenate([quality.line_features([t])[0] for t in texts]))
+    rng = np.random.default_rng(1)
+    model = quality.fit(x, length, lines, rng.integers(0, 2, len(texts)), steps=20)
+    assert np.allclose(model.scores(texts), np.concatenate([model.scores([t]) for t in texts]), atol=1e-6)
+
+
 def test_held_out_accuracy(spark):
     got = quality.op2_crf_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
