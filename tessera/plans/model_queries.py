@@ -141,7 +141,7 @@ def _hmm(name, **changes):
     def query(s, d):
         b = _small(s, d)
         inputs = ("users",) if name == "input-output-hmm" else ()
-        return hmm.run_series(b, ["ret"], hmm.variant(name, iterations=10, restarts=1, inputs=inputs, **changes))
+        return hmm.run_series(b, ["ret"], hmm.variant(name, inputs=inputs, **changes))
 
     return query
 

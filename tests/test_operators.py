@@ -83,6 +83,17 @@ def test_hmm_recovers_states_and_filters_online():
     assert brute == pytest.approx(np.log(total))
 
 
+def test_hmm_queries_run_to_the_operators_own_limits(monkeypatch):
+    from tessera.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(model_queries, "_small", lambda s, d: None)
+    monkeypatch.setattr(hmm, "run_series", lambda df, features, c: seen.append(c))
+    for name in hmm.VARIANTS:
+        model_queries._hmm(name)(None, None)
+    assert [(c.iterations, c.restarts) for c in seen] == [(c.iterations, c.restarts) for c in hmm.VARIANTS.values()]
+
+
 def test_jump_and_switching_models():
     rng = np.random.default_rng(4)
     s = np.repeat([0, 1, 0, 1], 60)
