@@ -6,16 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.durable import durable
+from tessera.durable import durable, free, free_names, partitions_for
 
 
-def with_uid(df: DataFrame, id_col: str, order: list[str]) -> tuple[DataFrame, bool]:
-    """Adds ``_uid`` (long): the id itself where ids are unique and not null, else the row's place by id (nulls last) and ``order``; and which of both."""
+def every(df: DataFrame) -> list:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_in_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` by place and not by name, as names may hold dots."""
+    plain = lambda n: [f"c{i}" for i in range(n)]
+    fields = [T.StructField(c, f.dataType) for c, f in zip(plain(len(schema)), schema, strict=True)]
+    return df.toDF(*plain(len(df.columns))).mapInArrow(run, T.StructType(fields)).toDF(*schema.names)
+
+
+def with_uid(df: DataFrame, id_col: str, order: list[str], uid: str = "_uid") -> tuple[DataFrame, bool]:
+    """Adds ``uid`` (long): the id itself where ids are unique and not null, else a number that rises with the id (nulls last); and which of both.
+
+    Repeated ids are ordered by a hash of ``order``, then by their place.  Rows are
+    dealt by ranges of all three, so neither a null nor a hot id gathers in a task,
+    and a row's number is its partition's with its place there.
+    """
     ids = df.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count("*").alias("n"))
     if ids.filter("n > 1 or i is null").isEmpty():
-        return df.withColumn("_uid", F.col(id_col).cast("long")), True
-    ranked = df.orderBy(F.col(id_col).cast("long").asc_nulls_last(), *order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return durable(df.sparkSession.createDataFrame(ranked, T.StructType([*df.schema.fields, T.StructField("_uid", T.LongType())]))), False
+        return df.withColumn(uid, F.col(id_col).cast("long")), True
+    place = free_names(df, "_place")[0]
+    key = [F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(*order), F.col(place)]
+    ranged = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(partitions_for(df), *key).sortWithinPartitions(*key)
+    return durable(ranged.select(*every(df), F.monotonically_increasing_id().alias(uid))), False
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,5 +54,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         moved = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        e = durable(small.select(moved.alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        last, e = e, durable(small.select(moved.alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        free(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -11,13 +11,15 @@ exponentially in its size, rate / (cap - rate) = exp(m * size / mean) / (cap - 1
 Newton steps, kept in a bracket, run on the histogram of (source, size), so an
 iteration reads a table far smaller than the documents.
 
-Copies: rates are rounded by systematic selection along the sizes of a bucket of
-documents; buckets hand their remainder on by a prefix sum, so no task ever holds
-a whole source.  Then each source moves copies of one size that bring it closer.
+Copies: documents of one source and size have one rate, so their copies are
+rounded together, by systematic selection along the sizes; then each source moves
+copies of one size that bring it closer.  All of this happens on the histogram.
+Documents are touched once, to deal a size's copies out by hash, and never
+exchanged by source alone, so no task holds a hot source.
 
 Edge cases: null texts and texts without words have size 0 and take 0; a null
 source is a source of its own, the last; repeated rows count one by one; an empty
-table gives no rows.  Results depend on no row order and no partitioning.
+table gives no rows; a very long text is one large size.  Results depend on no row order and no partitioning.
 """
 
 from __future__ import annotations
@@ -25,30 +27,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.durable import durable
-from tessera.llm.graph import with_uid
+from tessera.durable import durable, free, free_names
+from tessera.llm.graph import every, with_uid
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Documents that are sorted together; the remainder of one bucket goes to the next.
+#: Documents of one size that are ranked together.
 BUCKET_ROWS = 5_000
-STEPS = 60
+#: Newton steps that one plan takes before the driver asks whether all sources are done, and the plans after which it gives up.
+STEPS_A_ROUND, ROUNDS = 4, 50
 TOLERANCE = 1e-7
+DIGITS = 10
+#: The most rows of a table that travels to every task.
+BROADCAST_ROWS = 20_000
 #: Rates are rounded to this part before they are summed, so sums are exact.
 UNIT = 1 << 20
 KEY = ["s", "s_null"]
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("uid"),
+    text = F.col(text_col).cast("string")
+    t = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"),
         F.col(source_col).isNull().alias("s_null"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text).alias("hash"),
     )
+    return t.select("doc_id", *KEY, "size", F.xxhash64("doc_id", "hash").alias("mark"))
 
 
 def targets(stats: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -64,79 +72,113 @@ def targets(stats: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return t.select(*KEY, "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
+def step(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """One Newton step of every source's multiplier, halved into its bracket where it leaves it."""
+    z = F.col("size") / F.col("mean")
+    rate = float(cap) / (1 + (cap - 1) * F.exp(-F.col("m") * z))
+    x = F.col("n") * F.col("size")
+    sums = hist.join(state, KEY).groupBy(*KEY, "target", "mean", "m", "lo", "hi").agg(F.sum(x * rate).alias("g"), F.sum(x * z * rate * (1 - rate / cap)).alias("h"))
+    under = F.col("g") < F.col("target")
+    lo, hi = F.when(under, F.col("m")).otherwise(F.col("lo")), F.when(under, F.col("hi")).otherwise(F.col("m"))
+    sums = sums.withColumn("lo", lo).withColumn("hi", hi).withColumn("off", F.abs(F.col("g") / F.col("target") - 1))
+    to = F.col("m") + F.try_divide(F.col("target") - F.col("g"), F.col("h"))
+    wide = F.col("m") + F.when(F.col("g") < F.col("target"), 1.0).otherwise(-1.0) * (1 + F.abs("m"))
+    inside = to.isNotNull() & (F.col("lo").isNull() | (to > F.col("lo"))) & (F.col("hi").isNull() | (to < F.col("hi"))) & (F.abs(to - F.col("m")) <= 4 * (1 + F.abs("m")))
+    half = F.when(F.col("lo").isNull() | F.col("hi").isNull(), wide).otherwise((F.col("lo") + F.col("hi")) / 2)
+    # a bracket as narrow as the digits that are kept cannot be halved
+    done = (F.col("off") < TOLERANCE) | (F.col("hi") - F.col("lo") <= 2 * 10.0**-DIGITS * (1 + F.abs("m")))
+    new = F.when(done, F.col("m")).when(inside, to).otherwise(half)
+    return sums.select(*KEY, "target", "mean", F.round(new, DIGITS).alias("m"), "lo", "hi", F.coalesce(done, F.lit(False)).alias("done"))
+
+
 def solve(hist: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
-    """The dual's multiplier for each source; null where a source is at its cap or has no words."""
+    """The dual's multiplier for each source; a source that is at its cap or has no words has none.
+
+    A bracketed step at least halves the bracket, so every source ends; the limit
+    on the rounds is an error, never a result.
+    """
     open_ = (F.col("target") < F.col("source_size") * float(cap) * (1 - 1e-12)) & (F.col("target") > 0)
-    state = durable(goal.filter(open_).select(*KEY, "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("m"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("off")))
-    for _ in range(STEPS):
-        z = F.col("size") / F.col("mean")
-        rate = float(cap) / (1 + (cap - 1) * F.exp(-F.col("m") * z))
-        x = F.col("n") * F.col("size")
-        sums = hist.join(state, KEY).groupBy(*KEY, "target", "mean", "m", "lo", "hi").agg(F.sum(x * rate).alias("g"), F.sum(x * z * rate * (1 - rate / cap)).alias("h"))
-        under = F.col("g") < F.col("target")
-        lo, hi = F.when(under, F.col("m")).otherwise(F.col("lo")), F.when(under, F.col("hi")).otherwise(F.col("m"))
-        sums = sums.withColumn("lo", lo).withColumn("hi", hi).withColumn("off", F.abs(F.col("g") / F.col("target") - 1))
-        step = F.col("m") + F.try_divide(F.col("target") - F.col("g"), F.col("h"))
-        wide = F.col("m") + F.when(F.col("g") < F.col("target"), 1.0).otherwise(-1.0) * (1 + F.abs("m"))
-        inside = step.isNotNull() & (F.col("lo").isNull() | (step > F.col("lo"))) & (F.col("hi").isNull() | (step < F.col("hi"))) & (F.abs(step - F.col("m")) <= 4 * (1 + F.abs("m")))
-        half = F.when(F.col("lo").isNull() | F.col("hi").isNull(), wide).otherwise((F.col("lo") + F.col("hi")) / 2)
-        new = F.when(F.col("off") < TOLERANCE, F.col("m")).when(inside, step).otherwise(half)
-        state = durable(sums.select(*KEY, "target", "mean", F.round(new, 10).alias("m"), "lo", "hi", "off"))
-        if (state.agg(F.max("off")).first()[0] or 0) < TOLERANCE:
-            break
-    return state.select(*KEY, "mean", "m")
-
-
-def rounded(base: DataFrame, goal: DataFrame, dual: DataFrame, groups: int, cap: float = CAP) -> DataFrame:
-    """uid, copies and what the rows below need; systematic selection along the sizes."""
-    t = base.join(goal.select(*KEY, "source_size", "target"), KEY).join(dual, KEY, "left")
+    none = F.lit(None).cast("double")
+    state = durable(goal.filter(open_).select(*KEY, "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("m"), none.alias("lo"), none.alias("hi"), F.lit(False).alias("done")))
+    for _ in range(ROUNDS):
+        if state.filter("not done").isEmpty():
+            return state.select(*KEY, "mean", "m")
+        new = state
+        for _ in range(STEPS_A_ROUND):
+            new = step(hist, new, cap)
+        new = durable(new)
+        free(state)
+        state = new
+    raise RuntimeError("the dual has not converged")
+
+
+def rounded(hist: DataFrame, goal: DataFrame, dual: DataFrame, cap: float = CAP) -> DataFrame:
+    """hist with target, rate and copies, all of a size's documents together; systematic selection along the sizes."""
+    t = hist.join(goal.select(*KEY, "source_size", "target"), KEY).join(dual, KEY, "left")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("m").isNull(), F.when(F.col("target") > 0, float(cap)).otherwise(0.0)).otherwise(float(cap) / (1 + (cap - 1) * F.exp(-F.col("m") * F.col("size") / F.col("mean"))))
-    t = t.withColumn("rate", rate).withColumn("part", F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long"))
-    t = t.withColumn("mark", F.xxhash64("doc_id", "s", "size")).withColumn("bucket", F.pmod("mark", F.lit(groups)))
-    before = t.groupBy(*KEY, "bucket").agg(F.sum("part").alias("sum"))
-    before = before.select(*KEY, "bucket", (F.sum("sum").over(Window.partitionBy(*KEY).orderBy("bucket")) - F.col("sum")).alias("before"))
-    inner = Window.partitionBy(*KEY, "bucket").orderBy("size", "mark", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("upto", F.sum("part").over(inner)).join(before, [*KEY, "bucket"])
-    end = F.col("before") + F.col("upto") + UNIT // 2
+    t = t.withColumn("rate", rate).withColumn("part", F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long") * F.col("n"))
+    end = F.sum("part").over(Window.partitionBy(*KEY).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)) + UNIT // 2
     extra = F.floor(end / UNIT) - F.floor((end - F.col("part")) / UNIT)
-    return t.select("uid", "doc_id", *KEY, "size", "source_size", "target", "rate", "mark", (F.floor("rate") + extra).cast("long").alias("copies"))
+    return t.withColumn("copies", (F.floor("rate") * F.col("n") + extra).cast("long")).select(*KEY, "size", "n", "source_size", "target", "rate", "copies")
 
 
 def nearer(t: DataFrame, cap: int) -> DataFrame:
-    """Copies more or less of documents of one size in each source, the size that brings it nearest to its target."""
+    """Copies more or less of one size in each source, the size that brings it nearest to its target."""
     short = t.groupBy(*KEY).agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
     t = t.join(short, KEY)
-    t = t.withColumn("can", F.when(F.col("short") > 0, F.col("copies") < int(cap)).otherwise(F.col("copies") > 0) & (F.col("size") > 0))
-    by_size = t.filter("can").groupBy(*KEY, "size", "short").agg(F.count("*").alias("n"))
-    k = F.least(F.col("n"), F.round(F.abs("short") / F.col("size")).cast("long"))
-    by_size = by_size.withColumn("k", k).withColumn("miss", F.abs(F.abs("short") - F.col("k") * F.col("size"))).filter(F.col("miss") < F.abs("short"))
+    room = F.when(F.col("short") > 0, F.col("n") * int(cap) - F.col("copies")).otherwise(F.col("copies"))
+    k = F.least(room, F.round(F.abs("short") / F.col("size")).cast("long"))
+    by_size = t.filter("size > 0").withColumn("k", k).filter("k > 0").withColumn("miss", F.abs(F.abs("short") - F.col("k") * F.col("size"))).filter(F.col("miss") < F.abs("short"))
     best = by_size.groupBy(*KEY).agg(F.min(F.struct("miss", "size", "k")).alias("b")).select(*KEY, F.col("b.size").alias("size"), F.col("b.k").alias("k"))
-    order = Window.partitionBy(*KEY, "size").orderBy("mark", "doc_id", "uid")
-    moved = t.filter("can").join(best, [*KEY, "size"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("k")).select("uid", F.lit(1).alias("moved"))
-    t = t.join(moved, "uid", "left")
-    return t.withColumn("copies", F.col("copies") + F.when(F.col("moved") == 1, F.signum("short").cast("long")).otherwise(0)).drop("short", "can", "moved")
+    moved = t.join(best, [*KEY, "size"], "left")
+    return moved.withColumn("copies", F.col("copies") + F.coalesce(F.signum("short").cast("long") * F.col("k"), F.lit(0))).drop("short", "k")
+
+
+def dealt(base: DataFrame, plan: DataFrame, bucket_rows: int) -> DataFrame:
+    """Each document with its share of its size's copies: the even part, and one more for the first by hash.
+
+    A size's documents lie in as many buckets as they need, and a bucket knows how
+    many lie before it, so no task holds a hot source or size.
+    """
+    plan = plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows).cast("long"))
+    # sizes of more than one bucket are at most one in bucket_rows documents; where they are few they travel to the documents
+    large = plan.filter("buckets > 1").select(*KEY, "size", "buckets")
+    if (count := large.count()) <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    t = base if not count else base.join(large, [*KEY, "size"], "left")
+    bucket = F.pmod("mark", F.coalesce("buckets", F.lit(1))) if count else F.lit(0).cast("long")
+    t = t.select(*base.columns, bucket.alias("bucket"))
+    before = t.groupBy(*KEY, "size", "bucket").agg(F.count("*").alias("k"))
+    before = before.withColumn("before", F.sum("k").over(Window.partitionBy(*KEY, "size").orderBy("bucket")) - F.col("k")).drop("k")
+    by_bucket = [*KEY, "size", "bucket"]
+    # one exchange for the joins and the window; a whole partition of small sizes is a task
+    t = t.join(before.join(plan, [*KEY, "size"]), by_bucket)
+    nth = F.row_number().over(Window.partitionBy(*by_bucket).orderBy("mark", "doc_id")) + F.col("before")
+    even = F.floor(F.col("copies") / F.col("n"))
+    return t.withColumn("copies", (even + F.when(nth <= F.col("copies") - even * F.col("n"), 1).otherwise(0)).cast("long"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken; also source, rate, copies and uid."""
+    """doc_id, size, source_size, target, taken; also source, rate and copies."""
     base = durable(sizes(docs, id_col, text_col, source_col))
     hist = durable(base.groupBy(*KEY, "size").agg(F.count("*").alias("n")))
     stats = hist.groupBy(*KEY).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     goal = durable(targets(stats, weights, share, cap).join(stats.select(*KEY, "docs"), KEY))
     dual = solve(hist, goal, cap)
-    rows = goal.agg(F.sum("docs")).first()[0] or 0
-    t = durable(rounded(base, goal, dual, max(1, -(-rows // BUCKET_ROWS)), cap))
+    plan = rounded(hist, goal, dual, cap)
     for _ in range(3):
-        t = durable(nearer(t, cap))
-    return t.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(~F.col("s_null"), F.col("s")).alias("source"), "rate", "copies", "uid")
+        plan = durable(nearer(plan, cap))
+    t = dealt(base, plan, BUCKET_ROWS)
+    return t.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(~F.col("s_null"), F.col("s")).alias("source"), "rate", "copies")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    t, _ = with_uid(docs, id_col, [text_col])
-    taken = mix(t.select(F.col("_uid").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), **how)
-    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_uid"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_copy"))
-    return t.join(taken, "_uid").withColumn("_copy", F.explode("_copy")).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; all columns stay, whatever their names."""
+    uid, copies = free_names(docs, "_uid", "_copies")
+    t, _ = with_uid(docs, id_col, [text_col], uid)
+    taken = mix(t.select(F.col(uid).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), **how)
+    taken = taken.filter("copies > 0").select(F.col("doc_id").alias(uid), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(copies))
+    return t.join(taken, uid).withColumn(copies, F.explode(copies)).select(*every(docs))
 
 
 def op3_entropy_mixing(spark, sf_dir: str) -> DataFrame:
