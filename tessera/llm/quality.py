@@ -5,25 +5,31 @@ lines before and after it.  Marginals from forward-backward, weighted by the lin
 lengths, add up to a document's quality, which a logistic curve fitted on the
 training documents turns into a probability.
 
-Training takes a bounded sample: the ``SAMPLE_DOCS`` eligible documents with the
-lowest hash, of at most ``SAMPLE_BYTES`` bytes each; a document's label is taken as
-the label of all its lines.  Scoring covers every document whole.
+Training takes a bounded sample: of the ``SAMPLE_DOCS`` eligible documents with the
+lowest hash as many as have ``SAMPLE_LINES`` lines together; a document's label is
+taken as the label of all its lines.  Scoring covers every document whole, in
+double precision, and its digits do not depend on what a text is batched with.
 
 Edge cases: a null or empty text is one empty line; repeated rows give repeated
 results; documents with a null label are not trained on, and of repeated labels the
-lowest counts; without any label every score is 0.5; columns beyond the id and the
-text are ignored.
+lowest counts; without any label every score is 0.5; columns beyond those
+that are kept are ignored, and a kept column may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.durable import free_names
+from tessera.llm.graph import every, map_in_arrow
 
 SAMPLE_DOCS = 4_000
-SAMPLE_BYTES = 60_000
+#: Lines of all training documents together, which bounds the driver's share; a document of more than a sixteenth of them is not trained on.
+SAMPLE_LINES = 400_000
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 STEPS = 150
@@ -101,7 +107,21 @@ def with_neighbours(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
     before[1:], after[:-1] = x[:-1], x[1:]
     before[begin] = 0
     after[begin + lines - 1] = 0
-    return np.concatenate([x, before, after, np.ones((len(x), 1), np.float32)], 1)
+    return np.concatenate([x, before, after, np.ones((len(x), 1), x.dtype)], 1)
+
+
+def line_scores(x: np.ndarray, lines: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``with_neighbours(x, lines) @ w`` in double, one feature at a time: a line's digits depend on no other line of the batch."""
+    begin, d = np.cumsum(lines) - lines, x.shape[1]
+    own, before, after = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    for k in range(d):
+        col = x[:, k].astype(np.float64)
+        own += col * w[k]
+        before[1:] += col[:-1] * w[d + k]
+        after[:-1] += col[1:] * w[2 * d + k]
+    before[begin] = 0
+    after[begin + lines - 1] = 0
+    return own + before + after + w[3 * d]
 
 
 class Chains:
@@ -123,7 +143,8 @@ class Chains:
         e = np.exp(unary - top)
         fwd, bwd, scale = np.empty((n, 2)), np.ones((n, 2)), np.empty(n)
         for t, r in enumerate(self.rows):
-            a = e[r] if t == 0 else (fwd[self.rows[t - 1][: len(r)]] @ m) * e[r]
+            q = fwd[self.rows[t - 1][: len(r)]] if t else None
+            a = e[r] if t == 0 else (q[:, :1] * m[0] + q[:, 1:] * m[1]) * e[r]
             s = a.sum(1)
             fwd[r], scale[r] = a / s[:, None], s
         pair = np.zeros((2, 2))
@@ -132,7 +153,7 @@ class Chains:
             q = self.rows[t - 1][: len(r)]
             b = e[r] * bwd[r] / scale[r][:, None]
             pair += (fwd[q].T @ b) * m
-            bwd[q] = b @ m.T
+            bwd[q] = b[:, :1] * m[:, 0] + b[:, 1:] * m[:, 1]
         p = fwd * bwd
         moves = n - (len(self.rows[0]) if self.rows else 0)
         return p[:, 1] / p.sum(1), pair, float(np.log(scale).sum() + top.sum() + shift * moves)
@@ -146,8 +167,7 @@ class Model:
 
     def document_quality(self, x, length, lines) -> np.ndarray:
         """Length-weighted marginals; an empty line counts as one byte."""
-        full = with_neighbours((x - self.mean) / self.std, lines)
-        p, _, _ = Chains(lines).marginals((full @ self.w).astype(np.float64), self.move)
+        p, _, _ = Chains(lines).marginals(line_scores((x - self.mean) / self.std, lines, self.w), self.move)
         weight, begin = np.maximum(length, 1).astype(np.float64), np.cumsum(lines) - lines
         return np.add.reduceat(p * weight, begin) / np.add.reduceat(weight, begin)
 
@@ -179,7 +199,7 @@ def fit(x: np.ndarray, length: np.ndarray, lines: np.ndarray, label: np.ndarray,
         return np.concatenate([full.T @ (p - y) / n, ((pair - stay) / n).reshape(-1)]) + ridge * theta * np.concatenate([np.ones(d), np.full(4, 50.0)])
 
     theta = adam(grad, np.zeros(d + 4), steps, 0.1)
-    model = Model(mean, std, theta[:d].astype(np.float32), theta[d:].reshape(2, 2), (1.0, 0.0))
+    model = Model(mean, std, theta[:d], theta[d:].reshape(2, 2), (1.0, 0.0))
     q = np.clip(model.document_quality(x, length, lines), 1e-9, 1 - 1e-9)
     z = np.log(q / (1 - q))
 
@@ -191,32 +211,40 @@ def fit(x: np.ndarray, length: np.ndarray, lines: np.ndarray, label: np.ndarray,
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, docs_bound: int, bytes_bound: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """doc_id, label and line features of the training documents, chosen by hash."""
+def sample(docs: DataFrame, labels: DataFrame, docs_bound: int, lines_bound: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """doc_id, label and line features of the training documents: in the order of a hash, as many as have ``lines_bound`` lines together."""
     good = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("doc_id is not null and label is not null")
     good = good.filter(fold(F.col("doc_id")) != HELD).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_bound)
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = text.join(F.broadcast(good), "doc_id").filter(F.octet_length("text") <= bytes_bound)  # at most docs_bound ids
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # texts stay where they are until at most docs_bound of them are chosen by id and hash; both tables sent have at most as many rows
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sized = text.join(F.broadcast(good), "doc_id").select("doc_id", "hash", "label", n_lines.cast("long").alias("n")).distinct()
+    place = [F.xxhash64("doc_id"), "doc_id", "hash"]
+    sized = sized.filter(F.col("n") <= lines_bound // 16).orderBy(*place).limit(docs_bound)
+    upto = F.sum("n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    keys = sized.withColumn("upto", upto).filter(F.col("upto") <= lines_bound).select("doc_id", "hash", "label")
+    chosen = text.join(F.broadcast(keys), ["doc_id", "hash"])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x, length, _ = line_features([(text or "").encode()])
-                rows.append((doc, label, x.tobytes(), length.astype("<i8").tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "label", "x", "length"])
+            for doc, mark, label, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                x, length, _ = line_features([text.encode()])
+                rows.append((doc, mark, label, x.tobytes(), length.astype("<i8").tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "hash", "label", "x", "length"])
 
-    return chosen.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, x binary, length binary")
+    found = chosen.select(F.col("doc_id").cast("long"), "hash", "label", "text").mapInArrow(run, "doc_id long, hash long, label int, x binary, length binary")
+    return found.groupBy("doc_id", "hash", "label").agg(F.first("x").alias("x"), F.first("length").alias("length"))
 
 
 def fold(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_bound: int = SAMPLE_DOCS, bytes_bound: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    rows = sorted(sample(docs, labels, docs_bound, bytes_bound, id_col, text_col, label_col).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+def train(docs: DataFrame, labels: DataFrame, docs_bound: int = SAMPLE_DOCS, lines_bound: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+    rows = sorted(sample(docs, labels, docs_bound, lines_bound, id_col, text_col, label_col).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if len({r.label for r in rows}) < 2:
         return None
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, len(NAMES)) for r in rows]
@@ -224,10 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, docs_bound: int = SAMPLE_DOCS, byt
 
 
 def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: the id), then score and predicted."""
-    kept = [F.col(c) for c in (keep or [id_col])]
-    given = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    schema = given.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    """The columns ``keep`` (default: the id), then score and predicted, with underscores added where a kept column has that name."""
+    kept = docs.select(*every(docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in (keep or [id_col])])))
+    names = free_names(kept, "score", "predicted", "_text")
+    given = docs.select(*every(kept), F.col(text_col).cast("string").alias(names[2]))
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         for batch in batches:
@@ -241,9 +270,9 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD,
             if texts:
                 got.append(model.scores(texts) if model else np.full(len(texts), 0.5))
             score = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [f"c{i}" for i in range(len(schema))])
 
-    return given.mapInArrow(run, schema)
+    return map_in_arrow(given, run, schema)
 
 
 def op2_crf_quality(spark, sf_dir: str) -> DataFrame:
