@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.graph import map_in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -75,10 +77,16 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def byte(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    d = digits.lstrip("0")
+    return len(d) <= 3 and int(d or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [(0, a, b) for a, b in emails(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p) < 400 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(byte(p) for p in m[0].split("."))] if "." in text else []
     for m in CARD.finditer(text):
         d = _digits(m[0])
         if len(d) <= 19 and luhn(d):
@@ -231,7 +239,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if (s := t.as_py()) is None else redacted(s) for t in batch.column(at)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 :]], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)
 
 
 def op8_deobfuscated_pii(spark, sf_dir: str) -> DataFrame:

@@ -89,3 +89,17 @@ def test_frame(spark):
 
 def test_long_text_is_linear():
     assert pii.all_spans("a" * 300_000 + "1" * 300_000 + " one" * 50_000)[0] == []
+
+
+def test_leading_zeros_of_any_number():
+    zeros = "0" * 5_000
+    for ip in (f"{zeros}1.2.3.4", f"1.2.3.{zeros}", f"{zeros}255.0.0.{zeros}9"):
+        assert [k for k, _, _ in pii.base_spans(f"x {ip} y")].count(1) == 1
+    assert not [k for k, _, _ in pii.base_spans(f"{zeros}256.1.1.1") if k == 1]
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b@c.de", 5, "z"), (None, None, None, None), (1, "a b@c.de", 5, "z"), (2, "", 1, "")], "doc_id long, text string, spans int, `a.b` string")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "a <EMAIL>", 5, "z"), (None, None, None, None), (1, "a <EMAIL>", 5, "z"), (2, "", 1, "")], key=str)
+    assert pii.redact(docs.limit(0)).count() == 0
