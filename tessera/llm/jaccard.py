@@ -1,10 +1,13 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
-Texts with equal n-gram sets form a class first, so copies cost one row each.  The
-classes' band hashes are grouped; each group links its members to its least one
-(a star, not pairs), and the stars' components are the candidate groups.  Within
-a candidate group, pairs that share a band are verified on their whole sets.  A
-large group is dealt out as pairs of blocks, each a task's work, and what leaves a
+Texts with equal n-gram sets form a class first, so copies cost one row each.
+Classes are shuffled on their band hashes; what shares a band is compared by
+sketches, a byte of each of the bands' minima, and a pair goes on if its sketches
+agree in as many places as a pair exactly at the threshold does with probability
+``RECALL``.  The components of those pairs are the candidate groups, so texts that
+merely share a template meet in a band and part again.  Within a candidate group
+pairs are verified on their whole sets.  Large bands and large groups are dealt out
+as pairs of blocks, bounded in rows and in bytes, each a task's work; what leaves a
 task is a count for each class and the edges of a spanning forest.
 
 Bands: the most rows whose bands, as many as reach ``RECALL`` at the threshold,
@@ -14,7 +17,8 @@ Edge cases: words are separated by ASCII white space; a text of fewer words than
 ``N`` has one n-gram of all its words; null, empty and blank texts have none and
 link with nothing; repeated or null doc_ids are told apart row by row, and the
 class id is then null only if all of a class's ids are; columns beyond the id and
-the text are ignored.
+the text are ignored, and pass through ``first_of_classes`` whatever their names; a
+very long text is one large set; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.durable import durable, partitions_for
-from tessera.llm.graph import components, with_uid
+from tessera.durable import durable, free_names, partitions_for
+from tessera.llm.graph import components, every, with_uid
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.999999
 MOST_HASHES = 128
-#: Classes in a block of a large candidate group.
-BLOCK = 1024
+#: Classes, and bytes of their sets, in a block of a large candidate group; classes in a block of a large band.
+BLOCK, BLOCK_BYTES, BAND_BLOCK = 512, 16 << 20, 1024
+#: Classes of more rows than this share of all are met by broadcast, so there are at most as many of them.
+HOT_CLASSES = 10_000
+#: Bits of the bitmap by which texts in no candidate group stay where they are, and the most candidates for which it is made.
+BITS, MOST_MARKED = 1 << 27, 20_000_000
 CHUNK = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -107,22 +115,34 @@ class Hasher:
         return out
 
 
-def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int = 2) -> np.ndarray:
-    """(texts, bands); the sets must not be empty."""
+def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, bands) hashes, and (texts, bands * rows) bytes of the minima; the sets must not be empty."""
     rng = np.random.default_rng(seed)
     mul = rng.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**64, bands * rows, np.uint64)
     flat = np.concatenate(sets)
     start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out, tmp = np.zeros((len(sets), bands), np.uint64), np.empty_like(flat)
+    out, sketch, tmp = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), bands * rows), np.uint8), np.empty_like(flat)
     for b in range(bands):
         got = np.full(len(sets), b, np.uint64)
         for k in range(b * rows, (b + 1) * rows):
             np.multiply(flat, mul[k], out=tmp)
             np.add(tmp, add[k], out=tmp)
-            got = mix64(got * np.uint64(_BASE) + np.minimum.reduceat(tmp, start))
+            least = np.minimum.reduceat(tmp, start)
+            got = mix64(got * np.uint64(_BASE) + least)
+            sketch[:, k] = mix64(least)
         out[:, b] = got
-    return out.view(np.int64)
+    return out.view(np.int64), sketch
+
+
+def least_agreement(places: int, threshold: float, recall: float) -> int:
+    """The most places in which sketches of a pair at the threshold agree with the wanted probability."""
+    tail = 0.0
+    for k in range(places, -1, -1):
+        tail += math.comb(places, k) * threshold**k * (1 - threshold) ** (places - k)
+        if tail >= recall:
+            return k
+    return 0
 
 
 def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK):
@@ -139,7 +159,7 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK):
 
 
 def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """texts: _uid, text. _uid, digest (null without n-grams), bands."""
+    """texts: _uid, text. _uid, digest (null without n-grams), grams, bands, sketch."""
 
     def run(batches):
         hasher = Hasher(n)
@@ -148,15 +168,68 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for at, some in chunks(batch, 1):
                 sets = hasher(some)
                 full = [s for s in sets if len(s)]
-                sig = iter(band_hashes(full, bands, rows)) if full else iter(())
+                sig = zip(*band_hashes(full, bands, rows), strict=True) if full else iter(())
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sigs = [next(sig) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([uid.slice(at, len(some)), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["_uid", "digest", "bands"])
+                sigs = [next(sig) if len(s) else (None, None) for s in sets]
+                sketch = [None if k is None else k.tobytes() for _, k in sigs]
+                yield pa.RecordBatch.from_arrays([uid.slice(at, len(some)), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([b for b, _ in sigs], pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["_uid", "digest", "grams", "bands", "sketch"])
+
+    return texts.mapInArrow(run, "_uid long, digest binary, grams long, bands array<long>, sketch binary")
 
-    return texts.mapInArrow(run, "_uid long, digest binary, bands array<long>")
 
+def agreeing(sketch: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (rows) that connect, within each group, all rows that agreeing pairs connect; groups are runs of rows.
+
+    Rows that agree with their group's first are one component by that; only what
+    is left is compared with the whole group, so a group of near copies costs a
+    comparison for each row.
+    """
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(cut, len(group)))
+    first = np.repeat(cut, size)
+    near = np.empty(len(group), bool)
+    for k in range(0, len(group), 1 << 16):
+        near[k : k + (1 << 16)] = np.count_nonzero(sketch[k : k + (1 << 16)] == sketch[first[k : k + (1 << 16)]], axis=1) >= least
+    x = np.flatnonzero(near)
+    a, b = [first[x]], [x]
+    apart = np.flatnonzero(~near & (np.repeat(size, size) > 2))
+    for u in apart.tolist():
+        lo = first[u]
+        k = int(np.searchsorted(cut, lo))
+        y = lo + np.flatnonzero(np.count_nonzero(sketch[lo : lo + size[k]] == sketch[u], axis=1) >= least)
+        a.append(np.full(len(y), u))
+        b.append(y)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
+
+
+def sketched(work: DataFrame, least: int) -> DataFrame:
+    """work: band, i, j, node, sketch, sorted by the first three. Edges a-b between nodes."""
 
-def linked(sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, bands: np.ndarray, lo: int, hi: int, threshold: float):
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0] if rest.num_rows else batch
+            key = np.stack([rest.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            if len(new):  # the last group may go on in the next batch
+                yield emit(rest.slice(0, int(new[-1])), key[:, : new[-1]])
+                rest = rest.slice(int(new[-1]))
+        if rest is not None and rest.num_rows:
+            yield emit(rest, np.stack([rest.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)]))
+
+    def emit(rows, key):
+        group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
+        node = rows.column(3).to_numpy()
+        sketch = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
+        a, b = (node[x] for x in agreeing(sketch, group, least))
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return work.mapInArrow(run, "a long, b long")
+
+
+def linked(sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, sketch: np.ndarray, least: int, lo: int, hi: int, threshold: float):
     """For each row before ``hi``, the later rows from ``lo`` on that are near enough."""
     vocab, flat = np.unique(flat, return_inverse=True)
     mark = np.zeros(len(vocab), bool)
@@ -166,7 +239,7 @@ def linked(sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, bands: np.nda
         ok = (sizes[other] >= threshold * sizes[i]) & (sizes[i] >= threshold * sizes[other])
         other = other[ok]
         if len(other):
-            other = other[(bands[other] == bands[i]).any(1)]
+            other = other[np.count_nonzero(sketch[other] == sketch[i], axis=1) >= least]
         if not len(other):
             continue
         own = flat[start[i] : start[i] + sizes[i]]
@@ -198,8 +271,8 @@ class Forest:
         return i != j
 
 
-def verified(work: DataFrame, threshold: float) -> DataFrame:
-    """work: cluster, i, j, block, _uid, n, bands, grams, blocks, in groups of cluster, i and j.
+def verified(work: DataFrame, threshold: float, least: int) -> DataFrame:
+    """work: cluster, i, j, block, _uid, n, sketch, grams, blocks, in groups of cluster, i and j.
 
     Rows: a with its links; or a and its root b (links -1), where the group is whole in one block; or an edge a-b (links 0).
     """
@@ -214,10 +287,10 @@ def verified(work: DataFrame, threshold: float) -> DataFrame:
         sets = [np.frombuffer(r[4], np.uint64) for r in kept]
         sizes = np.array([len(s) for s in sets])
         start = np.cumsum(sizes) - sizes
-        bands, n = np.stack([np.frombuffer(r[3], np.int64) for r in kept]), np.array([r[2] for r in kept])
+        sketch, n = np.stack([np.frombuffer(r[3], np.uint8) for r in kept]), np.array([r[2] for r in kept])
         split = sum(r[0] == i for r in kept)
         links, forest, edges = np.zeros(len(kept), np.int64), Forest(len(kept)), []
-        for x, ys in linked(sizes, np.concatenate(sets), start, bands, 0 if i == j else split, split, threshold):
+        for x, ys in linked(sizes, np.concatenate(sets), start, sketch, least, 0 if i == j else split, split, threshold):
             if len(ys):
                 links[x] += n[ys].sum()
                 links[ys] += n[x]
@@ -248,61 +321,106 @@ def verified(work: DataFrame, threshold: float) -> DataFrame:
     return work.mapInArrow(run, "a long, b long, links long")
 
 
+def blocked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with node, blocks: each in all pairs (i, j) of its block with the others of its group, and its block."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o").select(*by, "i", "j", *[c for c in rows.columns if c not in (*by, "o")])
+
+
+def marked(t: DataFrame, nodes: DataFrame, bits: int = BITS, most: int = MOST_MARKED) -> DataFrame:
+    """The rows of ``t`` (_uid) that may be among ``nodes`` (node), by a bitmap of ``bits`` bits; all rows where the nodes are many.
+
+    The bitmap is at most bits / 8 bytes, whatever the input.
+    """
+    if nodes.count() > most:
+        return t
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = nodes.select(at("node").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map"))
+    place = F.bitmap_bit_position(at("_uid"))
+    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = (F.bitmap_bucket_number(at("_uid")) == F.col("bucket")) & (byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0)
+    return t.join(F.broadcast(maps), hit, "left_semi")
+
+
+def candidate_groups(reps: DataFrame, least: int) -> DataFrame:
+    """node, cluster of the classes with a partner: components of the pairs that share a band and agree in their sketches."""
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    large = banded.groupBy("band").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    hits = banded.join(large, "band").join(reps.select("node", "sketch"), "node")
+    work = blocked(hits, ["band"]).select("band", "i", "j", "node", "sketch")
+    parts = partitions_for(reps)
+    dealt = work.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    return durable(components(sketched(dealt, least)).select("node", F.col("root").alias("cluster")))
+
+
+def rejoined(sig: DataFrame, node: DataFrame, rows: int) -> DataFrame:
+    """Each row of ``sig`` with its class (digest, root, n, links); rows without n-grams stand alone.
+
+    Of the classes at most HOT_CLASSES have more than a HOT_CLASSES-th of the rows:
+    those travel to the rows, and no task gathers a hot class.
+    """
+    bare = sig.filter("digest is null").select("_uid", F.col("_uid").alias("root"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("links"))
+    full, hot = sig.filter("digest is not null").select("_uid", "digest"), F.col("n") > max(64, rows // HOT_CLASSES)
+    if node.filter(hot).isEmpty():
+        return full.join(node, "digest").drop("digest").unionByName(bare)
+    large = F.broadcast(node.filter(hot))
+    warm = full.join(large, "digest").drop("digest")
+    cold = full.join(large.select("digest"), "digest", "left_anti").join(node.filter(~hot), "digest").drop("digest")
+    return warm.unionByName(cold).unionByName(bare)
+
+
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (least id of the component), n_links (documents linked directly), n_copies (equal sets, itself included), and _uid."""
     bands, rows = bands_for(threshold, recall)
+    least = least_agreement(bands * rows, threshold, recall)
     t, same = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", ["text"])
     parts = partitions_for(t)
     sig = durable(signatures(t.select("_uid", "text"), n, bands, rows))
-    nodes = durable(sig.filter("digest is not null").groupBy("digest").agg(F.min("_uid").alias("node"), F.count("*").alias("n")))
-
-    # candidate groups: stars around the least member of each band's group
-    reps = sig.select(F.col("_uid").alias("node"), "bands").join(nodes.select("node", "n"), "node")
-    banded = reps.select("node", F.explode("bands").alias("band"))
-    center = banded.groupBy("band").agg(F.min("node").alias("c"), F.count("*").alias("k")).filter("k > 1").select("band", "c")
-    stars = banded.join(center, "band").filter("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b"))
-    group = durable(components(stars).select("node", F.col("root").alias("cluster")))
-    sizes = group.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    chosen = reps.join(group, "node").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    first = sig.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("_uid", "grams", "bands", "sketch")).alias("s"), F.count("*").alias("n"))
+    reps = durable(first.select("digest", F.col("s._uid").alias("node"), "n", "s.grams", "s.bands", "s.sketch"))
 
-    work = t.join(chosen.select(F.col("node").alias("_uid"), "cluster", "blocks", "block", "n", "bands"), "_uid").select("cluster", "blocks", "block", "_uid", "n", "bands", "text")
+    group = candidate_groups(reps, least)
+    chosen = reps.select("node", "n", "grams", "sketch").join(group, "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("grams") * 8 / BLOCK_BYTES)).cast("int")
+    chosen = chosen.drop("grams").join(chosen.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
+    work = marked(t, group).select(F.col("_uid").alias("node"), "text").join(chosen, "node").select("cluster", "blocks", "node", "n", "sketch", "text")
 
     def grams(batches):
         hasher = Hasher(n)
         for batch in batches:
-            for at, some in chunks(batch, 6):
-                part = batch.slice(at, len(some))
+            for at, some in chunks(batch, 5):
                 sets = [s.tobytes() for s in hasher(some)]
-                sigs = [np.asarray(b, np.int64).tobytes() for b in part.column(5).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["cluster", "blocks", "block", "_uid", "n", "bands", "grams"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(some)).columns[:5], pa.array(sets, pa.binary())], ["cluster", "blocks", "node", "n", "sketch", "grams"])
 
-    made = work.mapInArrow(grams, "cluster long, blocks int, block int, _uid long, n long, bands binary, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = made.withColumn("o", other).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "_uid", "n", "bands", "grams", "blocks")
+    made = work.mapInArrow(grams, "cluster long, blocks int, node long, n long, sketch binary, grams binary")
+    dealt = blocked(made, ["cluster"]).select("cluster", "i", "j", "block", "node", "n", "sketch", "grams", "blocks")
     dealt = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = durable(verified(dealt, threshold))
+    found = durable(verified(dealt, threshold, least))
 
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     root = found.filter("links = -1").select(F.col("a").alias("node"), F.col("b").alias("root"))
     apart = found.filter("links = 0 and b is not null")
     if not apart.isEmpty():
         root = root.unionByName(components(apart))
-    node = nodes.join(links, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    final = sig.select("_uid", "digest").join(node.select("digest", "root", "n", "links"), "digest", "left").withColumn("root", F.coalesce("root", "_uid"))
+    node = reps.select("digest", "node", "n").join(links, "node", "left").join(root, "node", "left")
+    node = durable(node.select("digest", F.coalesce("root", "node").alias("root"), "n", F.coalesce("links", F.lit(0)).alias("links")))
+    final = rejoined(sig, node, sig.count())
     # the least row of a component has its least id
     if same:
         final = final.withColumns({"doc_id": F.col("_uid"), "class_id": F.col("root")})
     else:
         own = t.select("_uid", "doc_id")
         final = final.join(own, "_uid").join(own.select(F.col("_uid").alias("root"), F.col("doc_id").alias("class_id")), "root")
-    return final.select("doc_id", "class_id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n", F.lit(1)).alias("n_copies"), "_uid")
+    return final.select("doc_id", "class_id", (F.col("n") - 1 + F.col("links")).alias("n_links"), F.col("n").alias("n_copies"), "_uid")
 
 
 def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with the least id of their class, and all that have no n-gram."""
-    t, _ = with_uid(docs, id_col, [text_col])
-    first = jaccard_join(t.select(F.col("_uid").alias("doc_id"), F.col(text_col).alias("text")), **how).filter("doc_id = class_id").select(F.col("doc_id").alias("_uid"))
-    return t.join(first, "_uid", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` with the least id of their class, and all that have no n-gram; all columns stay, whatever their names."""
+    uid = free_names(docs, "_uid")[0]
+    t, _ = with_uid(docs, id_col, [text_col], uid)
+    first = jaccard_join(t.select(F.col(uid).alias("doc_id"), F.col(text_col).alias("text")), **how).filter("doc_id = class_id").select(F.col("doc_id").alias(uid))
+    return t.join(first, uid, "left_semi").select(*every(docs))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
