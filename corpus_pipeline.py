@@ -4,6 +4,13 @@ Each stage takes what its predecessor wrote and decides on all of it: rejected
 documents go, one document of each near-duplicate class stays, personal data is
 replaced, documents are repeated or dropped to meet the sources' targets, and what
 remains is packed.  All stages but the last return the columns of documents.
+
+Edge cases: a null or empty text is one empty line for the classifier, is in no
+class of near-duplicates, stays null or empty in the third stage, has no words and
+so no copy in the mix, and is a piece of one id if packed by itself; a null source
+is a source of its own; repeated rows and null or repeated ids count one by one and
+of equal rows one stays; an empty table stays empty; columns beyond those of
+documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,12 +20,14 @@ from pyspark.sql import functions as F
 
 from tessera.durable import durable
 from tessera.llm import jaccard, mixing, packing, pii, quality
+from tessera.llm.graph import every
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    judged = quality.classify(docs, model, keep=docs.columns)
+    return judged.filter(F.col(judged.columns[-1]) == 1).select(*every(docs))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +37,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; lengths follow."""
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*every(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
