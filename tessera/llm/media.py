@@ -125,49 +125,94 @@ class Analyser:
         return tensor.astype(np.float32), ms, len(mel)
 
 
-def tensor_stream(tensor: np.ndarray, spans: np.ndarray) -> bytes:
-    """An Arrow stream of one row: a fixed-shape tensor and its time spans."""
-    kind = pa.fixed_shape_tensor(pa.float32(), list(tensor.shape))
-    values = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(tensor.reshape(-1)), tensor.size))
-    times = pa.array([[{"start_ms": float(a), "end_ms": float(b)} for a, b in spans]], pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])))
-    batch = pa.record_batch([values, times], names=["log_mel", "spans"])
+SPANS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+
+
+def tensor_batch(tensors: np.ndarray, spans: list[np.ndarray]) -> pa.RecordBatch:
+    """A column of fixed-shape tensors and one of their time spans."""
+    kind = pa.fixed_shape_tensor(pa.float32(), list(tensors.shape[1:]))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), int(np.prod(tensors.shape[1:])))
+    times = pa.array([[{"start_ms": float(a), "end_ms": float(b)} for a, b in s] for s in spans], SPANS)
+    return pa.record_batch([pa.ExtensionArray.from_storage(kind, flat), times], names=["log_mel", "spans"])
+
+
+def to_stream(batch: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
     return sink.getvalue()
 
 
+def from_stream(stream: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tensors and spans of a stored batch."""
+    t = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    tensors = t["log_mel"].chunk(0).to_numpy_ndarray()
+    return tensors, [np.array([(x["start_ms"], x["end_ms"]) for x in s]).reshape(-1, 2) for s in t["spans"].to_pylist()]
+
+
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+KEPT = "media binary, log_mel array<float>, spans array<struct<start_ms:double,end_ms:double>>"
+#: Texts, and bytes of them, whose features are stored as one batch; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def audio_features(docs: DataFrame, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of what was stored and read back; with ``keep`` also the media and the tensor's Arrow stream."""
+    """Digests of what was stored and read back; with ``keep`` also the media, the tensor's values and its time spans.
+
+    The features of a batch are stored as an Arrow stream with a fixed-shape tensor
+    column and a column of spans, and the digest is taken of what is read back from it.
+    """
 
     def run(batches):
         analyse = Analyser()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(k, 256), []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    raw = (text.as_py() or "").encode()
-                    payload = raw + b" " * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
-                    media = store(payload)
-                    back, _ = read_back(media)
-                    tensor, spans, frames = analyse(back)
-                    digest = hashlib.sha256(np.round(tensor, 2).tobytes() + np.round(spans).astype("<i8").tobytes()).hexdigest()[:32]
-                    row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{frames}:{len(spans)}:{tensor.mean():.3f}:{digest}")
-                    out.append((*row, media, tensor_stream(tensor, spans)) if keep else row)
-                kinds = KINDS + [pa.large_binary(), pa.binary()] * keep
-                cols = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-                names = [f.split(" ")[0] for f in DIGEST.split(", ")] + ["media", "tensor"] * keep
-                kinds = [pa.binary() if x == pa.large_binary() else x for x in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+        def done(rows, tensors, spans, frames):
+            tensors, spans = from_stream(to_stream(tensor_batch(np.stack(tensors), spans)))
+            out = []
+            for (*row, media), tensor, ms, n in zip(rows, tensors, spans, frames, strict=True):
+                digest = hashlib.sha256(np.round(tensor, 2).tobytes() + np.round(ms).astype("<i8").tobytes()).hexdigest()[:32]
+                row.append(f"{n}:{len(ms)}:{tensor.mean():.3f}:{digest}")
+                out.append((*row, media, tensor.reshape(-1), [{"start_ms": a, "end_ms": b} for a, b in ms]) if keep else row)
+            kinds = KINDS + [pa.binary(), pa.list_(pa.float32()), SPANS] * keep
+            names = [f.split(" ")[0] for f in DIGEST.split(", ")] + ["media", "log_mel", "spans"] * keep
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            held, size = ([], [], [], []), 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = (text.as_py() or "").encode()
+                payload = raw + b" " * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
+                media = store(payload)
+                back, _ = read_back(media)
+                row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), media if keep else None)
+                for h, x in zip(held, (row, *analyse(back)), strict=True):
+                    h.append(x)
+                size += len(raw)
+                if size >= BATCH_BYTES or len(held[0]) == BATCH_ROWS:
+                    yield done(*held)
+                    held, size = ([], [], [], []), 0
+            if held[0]:
+                yield done(*held)
 
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return t.mapInArrow(run, DIGEST + (", media binary, tensor binary" if keep else ""))
+    return t.mapInArrow(run, DIGEST + (f", {KEPT}" if keep else ""))
+
+
+def tensor_streams(features: DataFrame) -> DataFrame:
+    """doc_ids and stream: what ``audio_features`` kept, an Arrow stream with a fixed-shape tensor column for each batch of rows."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                spans = [np.array([(x["start_ms"], x["end_ms"]) for x in s]).reshape(-1, 2) for s in part.column(2).to_pylist()]
+                tensors = np.array(part.column(1).to_pylist(), np.float32).reshape(-1, *SHAPE)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([to_stream(tensor_batch(tensors, spans))], pa.binary())], ["doc_ids", "stream"])
+
+    return features.select("doc_id", "log_mel", "spans").mapInArrow(run, "doc_ids array<long>, stream binary")
 
 
 def op6_audio_features(spark, sf_dir: str) -> DataFrame:
-    """Store every whole document as audio, read it back, and digest both and the features."""
+    """Store every whole document as audio and its features as tensors, read both back, and digest them."""
     return audio_features(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
