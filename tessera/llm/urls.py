@@ -1,14 +1,26 @@
 """URL filters: rules on hosts and paths, then a naive Bayes verdict on segmented words.
 
-Rules decide where one fits; elsewhere the host's letters are split into words by
-a unigram Viterbi search and the words of host and path are scored by multinomial
-naive Bayes.  Both models are fixed: the lexicon and the labelled seeds below are
-all they are fitted on, so a verdict depends on the url alone.
+Rules decide where one fits.  Elsewhere the host's letters are split into words by
+a unigram Viterbi search, and the words of host and path are scored by multinomial
+naive Bayes.
+
+Both models are fitted on the pages: unigrams are counted over the text of all of
+them, and the classes' words over all urls that a rule decides, in what the rule
+does not look at (the labels before its host, the path after its own).  A word
+counts once for each verdict and host, and only if ``LEAST_HOSTS`` hosts have it: a
+rule may decide all pages of a host, which says nothing of that host's own name.  To both the
+fixed phrases ``SEEDS`` are added, each word ``SEED_WEIGHT`` times, so that a
+verdict is possible before any page is.  The driver and the tasks hold the
+``LEXICON`` most frequent words of each count, a documented bound; counts and totals
+cover all rows.
 
 Edge cases: a null url, or one without "://", has empty host and path, fits no
-rule and takes the prior's verdict; repeated rows give repeated results; columns
-beyond the id and the url are ignored.  A host's segmentation is linear in its
-length (words have at most ``LONGEST`` letters).
+rule and takes the prior's verdict; a host without a dot is a name by itself; the
+longest rule wins, and of equally long ones that of the longer host; repeated rows
+give repeated results and count as often; an empty table leaves the seeds; null or
+missing page text counts no words; columns beyond the id, the url and the text are
+ignored.  A host's segmentation is linear in its length (words have at most
+``LONGEST`` letters), however long the url is.
 """
 
 from __future__ import annotations
@@ -21,14 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.durable import durable, free
+
 #: (verdict, host, path) as the contract of the query gives them.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-# Common words of hosts and paths, most frequent first; a word's probability falls with its rank.
-LEXICON = """
-the of and to in for on is that by this with you it not or be are from at as your all have new more an was we will home can us about if page my has search free but our one other do no information time they site he up may what which their news out use any there see only so his when contact here business who web also now help get view online first been would how were services some these click its like service than find price date back top people had list name just over state year day into email two health world next used go work last most products music buy data make them should product system post her city add policy number such please available copyright support message after best software then good video well where info rights public books high school through each links she review years order very privacy book items company read group need many user said set under general research university mail full map reviews program life know games way days management part could great united hotel real item international center must store travel blog media shop art learn wiki docs library science weather sport food house green family garden
-""".split()
-
 # urls' words by hand-given label, the seeds of the naive Bayes model.
 SEEDS = {
     "block": "cheap pills|viagra pills online|casino win|online casino bonus|free bets|sports bets free|poker slots jackpot|adult x|adult cams live|xxx porn videos|nude sex chat|spam farm|link farm spam|ads track|ad tracker pixel|banner ads click|malware download crack|warez keygen crack|phishing login verify|payday loans fast|replica watches cheap|escort girls|betting odds win|lottery win prize|torrent pirate download|hate racist|gore violence|weight loss miracle pills",
@@ -36,16 +45,34 @@ SEEDS = {
 }
 PRIOR = {"block": 0.2, "allow": 0.8}
 LONGEST = 20
+SEED_WEIGHT = 100
+LEXICON = 50_000
+LEAST_HOSTS = 5
+#: Added to every count of a class, so that a few hosts say little.
+SMOOTH = 10
+#: What each letter of an unknown word adds to its cost.
+UNKNOWN = 2.6
 
 
 class Model:
-    def __init__(self, lexicon=LEXICON, seeds=SEEDS, prior=PRIOR):
-        words = list(dict.fromkeys([*lexicon, *(w for s in seeds.values() for w in re.findall("[a-z]+", s))]))
-        whole = sum(1 / (k + 10) for k in range(len(words)))
-        self.cost = {w: -math.log(1 / (k + 10) / whole) for k, w in enumerate(words)}
-        counts = {c: Counter(re.findall("[a-z]+", s)) for c, s in seeds.items()}
-        known = set().union(*counts.values())
-        self.weight = {w: math.log((counts["block"][w] + 1) / (sum(counts["block"].values()) + len(known))) - math.log((counts["allow"][w] + 1) / (sum(counts["allow"].values()) + len(known))) for w in known}
+    """text: counts of words in pages; classes: counts of words in urls by verdict; totals cover words beyond the kept ones."""
+
+    def __init__(self, text: dict[str, int] | None = None, text_total: int | None = None, classes: dict[str, dict[str, int]] | None = None, class_totals: dict[str, int] | None = None, seeds=SEEDS, prior=PRIOR, weight: int = SEED_WEIGHT):
+        own = {c: Counter(re.findall("[a-z]+", s)) for c, s in seeds.items()}
+        text, classes = text or {}, classes or {}
+        counts = Counter(text)
+        for c in own.values():
+            counts.update({w: weight * n for w, n in c.items()})
+        whole = (sum(text.values()) if text_total is None else text_total) + weight * sum(sum(c.values()) for c in own.values())
+        self.unknown = math.log(max(whole, 1))
+        self.cost = {w: self.unknown - math.log(n) for w, n in counts.items()}
+        found = {c: Counter({w: weight * n for w, n in own[c].items()}) for c in own}
+        totals = {c: sum(found[c].values()) + (class_totals or {}).get(c, sum(classes.get(c, {}).values())) for c in own}
+        for c in own:
+            found[c].update(classes.get(c, {}))
+        known = {w for c in found.values() for w in c}
+        p = lambda c, w: math.log((found[c][w] + SMOOTH) / (totals[c] + SMOOTH * len(known)))
+        self.weight = {w: p("block", w) - p("allow", w) for w in known}
         self.bias = math.log(prior["block"] / prior["allow"])
 
     def segment(self, letters: str) -> list[str]:
@@ -55,8 +82,8 @@ class Model:
             low, at = math.inf, 0
             for start in range(max(0, end - LONGEST), end):
                 w = letters[start:end]
-                c = best[start] + (self.cost.get(w) or 9.0 + 2.6 * (end - start))
-                if c < low:
+                c = best[start] + (self.cost[w] if w in self.cost else self.unknown + UNKNOWN * (end - start))
+                if c < low - 1e-12:
                     low, at = c, start
             best.append(low)
             back.append(at)
@@ -67,48 +94,97 @@ class Model:
         return words[::-1]
 
     def words(self, host: str, path: str) -> list[str]:
-        parts = re.findall("[a-z]+", host.lower().rpartition(".")[0]) + re.findall("[a-z]+", path.lower())
-        return [w for p in parts for w in self.segment(p)]
+        """Words of a host's labels but the last, and of the path; a host of one label is that label."""
+        return self.split((host.rpartition(".")[0] or host) + " " + path)
+
+    def split(self, text: str) -> list[str]:
+        return [w for run in re.findall("[a-z]+", text.lower()) for w in self.segment(run)]
 
     def score(self, words: list[str]) -> float:
-        """Log odds of block; words that no seed has say nothing."""
+        """Log odds of block; words that no class has say nothing."""
         return self.bias + sum(self.weight.get(w, 0.0) for w in words)
 
 
-def longest_rule(rules: dict[str, list[tuple[str, str]]], host: str, path: str) -> tuple[str | None, str | None]:
-    """The longest rule that fits, and its verdict. rules: by host, paths longest first."""
-    best, verdict, labels = None, None, host.split(".") if host else []
+def longest_rule(rules: dict[str, list[tuple[str, str]]], host: str, path: str) -> tuple[str | None, str | None, str, str]:
+    """The longest rule that fits, its verdict, and what of host and path it leaves. rules: by host, paths longest first."""
+    best, verdict, rest, labels = None, None, (host, path), host.split(".") if host else []
     for k in range(len(labels)):
         suffix = ".".join(labels[k:])
         for p, v in rules.get(suffix, ()):
             if path.startswith(p):
                 if best is None or len(suffix) + len(p) > len(best):
-                    best, verdict = suffix + p, v
+                    best, verdict, rest = suffix + p, v, (".".join(labels[:k]), path[len(p) :])
                 break
-    return best, verdict
+    return best, verdict, *rest
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, score and words; a rule list is small enough to travel with the tasks."""
-    by_host: dict[str, list[tuple[str, str]]] = {}
+def by_host(rules) -> dict[str, list[tuple[str, str]]]:
+    out: dict[str, list[tuple[str, str]]] = {}
     for v, h, p in sorted(rules, key=lambda r: -len(r[2])):
-        by_host.setdefault(h, []).append((p, v))
+        out.setdefault(h, []).append((p, v))
+    return out
+
+
+def addresses(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     whole = r"(?s)^.*?://([^/?#]*)([^?#]*).*$"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    t = pages.select(F.col(id_col).cast("long").alias("page_id"), F.translate(F.regexp_extract(url, whole, 1), upper, lower).alias("host"), F.regexp_extract(url, whole, 2).alias("path"))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.translate(F.regexp_extract(url, whole, 1), upper, lower).alias("host"), F.regexp_extract(url, whole, 2).alias("path"))
+
+
+def fit(pages: DataFrame, rules=RULES, most: int = LEXICON, least_hosts: int = LEAST_HOSTS, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> Model:
+    """Unigrams of the pages' text and class counts of the urls that rules decide; at most ``most`` words of each reach the driver."""
+    if text_col in pages.columns:
+        text = F.lower(F.regexp_replace(F.col(text_col).cast("string"), r"(?s)<[^>]*>", " "))
+        words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).filter(f"length(w) between 1 and {LONGEST}")
+        counts = durable(words.groupBy("w").agg(F.count("*").alias("n")))
+        unigrams = {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()}
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        free(counts)
+    else:
+        unigrams, total = {}, 0
+    lexicon, hosts = Model(unigrams, total), by_host(rules)
+
+    def run(batches):
+        for batch in batches:
+            found = set()
+            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, verdict, before, after = longest_rule(hosts, host, path)
+                if verdict:
+                    found.update((verdict, w, host) for w in lexicon.split(before + " " + after))
+            cols = list(zip(*sorted(found), strict=True)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["verdict", "w", "host"])
+
+    ruled = addresses(pages, id_col, url_col).select("host", "path").mapInArrow(run, "verdict string, w string, host string")
+    # hosts of a word by either verdict, each once, then counted; no word gathers its hosts in a task
+    once = ruled.groupBy("w", "host").agg(F.max(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("block"), F.max(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("allow"))
+    by_word = once.groupBy("w").agg(F.count("*").alias("hosts"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).filter(F.col("hosts") >= least_hosts)
+    by_word = by_word.select("w", F.explode(F.create_map(F.lit("block"), "block", F.lit("allow"), "allow")).alias("verdict", "n")).filter("n > 0")
+    ruled = durable(by_word)
+    classes: dict[str, dict[str, int]] = {}
+    for r in ruled.orderBy(F.desc("n"), "w", "verdict").limit(most).collect():
+        classes.setdefault(r.verdict, {})[r.w] = r.n
+    totals = {r.verdict: r.n for r in ruled.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    free(ruled)
+    return Model(unigrams, total, classes, totals)
+
+
+def judge(pages: DataFrame, model: Model | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, score and words; without a model the seeds alone. A rule list is small enough to travel with the tasks."""
+    hosts, t = by_host(rules), addresses(pages, id_col, url_col)
+    model = model or Model()
 
     def run(batches):
-        model, seen = Model(), {}
+        seen: dict[str, list[str]] = {}
         for batch in batches:
             out = []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rule, verdict = longest_rule(by_host, host, path)
+                rule, verdict, _, _ = longest_rule(hosts, host, path)
                 if host not in seen:
                     if len(seen) > 100_000:
                         seen.clear()
                     seen[host] = model.words(host, "")
-                words = seen[host] + model.words("", path)
+                words = seen[host] + model.split(path)
                 score = model.score(words)
                 out.append((rule, verdict or ("block" if score > 0 else "allow"), score, words))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -119,4 +195,5 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
 def op5_host_segmentation(spark, sf_dir: str) -> DataFrame:
     """A verdict on every page's url."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, fit(pages)).select("page_id", "host", "path", "rule", "verdict")
