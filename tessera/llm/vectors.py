@@ -127,7 +127,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, projections: int = PR
     t = durable(t.withColumn("good", F.coalesce(good, F.lit(False))))
     nodes = durable(t.filter("good").groupBy("label", "v").agg(F.min("_uid").alias("node"), F.count("*").alias("n")))
     sized = nodes.withColumn("dim", F.size("v"))
-    blocks = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("node").alias("l"))
     sized = sized.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
@@ -136,7 +136,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, projections: int = PR
             raw = pa.array([np.asarray(x, np.float64).tobytes() for x in batch.column(7).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], raw], batch.schema.names)
 
-    pairs = pairs.select(F.xxhash64("label").alias("l"), "dim", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n", F.col("v").alias("vector"))
+    pairs = pairs.select("l", "dim", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n", F.col("v").alias("vector"))
     pairs = pairs.mapInArrow(bits, "l long, dim int, i int, j int, block int, node long, n long, vector binary")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.repartition(parts, "l", "dim", "i", "j").sortWithinPartitions("l", "dim", "i", "j")

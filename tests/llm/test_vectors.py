@@ -59,3 +59,17 @@ def test_calibration():
     half = vectors.SPREADS * np.sqrt(2 - 2 * vectors.COSINE)
     hits = (np.abs(rng.normal(size=(100_000, vectors.PROJECTIONS)) * np.sqrt(2 - 2 * vectors.COSINE)) <= half).sum(1)
     assert (hits >= k).mean() > 0.9999
+
+
+def test_ties_repeats_and_columns_of_any_name(spark):
+    import math
+
+    v = [1.0, 2.0, 3.0]
+    edge = [math.cos(math.acos(0.98)), math.sin(math.acos(0.98)), 0.0]
+    rows = [(1, v, "a", 1, 1), (1, v, "a", 1, 1), (2, v, "b", 1, 1), (None, v, "a", 1, 1), (4, [1.0, 0.0, 0.0], "c", 2, 2), (5, edge, "c", 2, 2), (6, [0.0, 0.0, 1.0] * 4_000, "d", 3, 3), (7, [0.0, 0.0, 1.0] * 4_000, "d", 3, 3)]
+    got = vectors.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n int, root int"))
+    out = sorted(((r.vec_id or 99, r.n_links, r.component_id, r.kept) for r in got.collect()))
+    linked = math.fsum(x * y for x, y in zip(edge, rows[4][1], strict=True)) / math.sqrt(math.fsum(x * x for x in edge)) >= 0.98
+    assert out[:3] == [(1, 2, 1, False), (1, 2, 1, True), (2, 0, 2, True)] and out[-1] == (99, 2, 1, False)
+    assert out[3:5] == ([(4, 1, 4, True), (5, 1, 4, False)] if linked else [(4, 0, 4, True), (5, 0, 5, True)])
+    assert out[5:7] == [(6, 1, 6, True), (7, 1, 6, False)]
