@@ -54,7 +54,7 @@ def hysteresis(df: DataFrame, enter: float, leave: float, initial: int = 0, **na
     return carried(df, step, "state int", **names)
 
 
-def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int = 20, **names) -> DataFrame:
+def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.0, least: int = 5, **names) -> DataFrame:
     """The raw score and the alarm; the baseline is the first rows."""
     def step(s, v):
         v = s.get("last", 0.0) if v is None else v
@@ -65,21 +65,21 @@ def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int
         if n + 1 < least:
             return s | {"head": head, "n": n + 1, "last": v}, {"score": 0.0, "alarm": False}
         if "std" not in s:
-            s = s | {"mean": float(np.mean(head)), "std": max(float(np.std(head)), 1e-12), "up": 0.0, "down": 0.0}
+            s = s | {"mean": float(np.mean(head)), "std": (float(np.std(head, ddof=1)) if len(head) > 1 else 0.0) or 1.0, "up": 0.0, "down": 0.0}
             for x in head[:-1]:
                 z = (x - s["mean"]) / s["std"]
                 s = s | {"up": max(0.0, s["up"] + z - drift), "down": max(0.0, s["down"] - z - drift)}
         z = (v - s["mean"]) / s["std"]
         up, down = max(0.0, s["up"] + z - drift), max(0.0, s["down"] - z - drift)
         score = max(up, down)
-        alarm = n >= least and score > threshold
+        alarm = n >= least and score >= threshold
         s = s | {"n": n + 1, "last": v, "head": head, "up": 0.0 if alarm else up, "down": 0.0 if alarm else down, "mean": v if alarm else s["mean"]}
         return s, {"score": score, "alarm": bool(alarm)}
 
     return carried(df, step, "score double, alarm boolean", **names)
 
 
-def page_hinkley(df: DataFrame, threshold: float = 5.0, delta: float = 0.005, alpha: float = 0.999, least: int = 20, **names) -> DataFrame:
+def page_hinkley(df: DataFrame, threshold: float = 50.0, delta: float = 0.005, alpha: float = 0.999, least: int = 5, **names) -> DataFrame:
     def step(s, v):
         n, mean, total, low = s.get("n", 0), s.get("mean", 0.0), s.get("total", 0.0), s.get("low", 0.0)
         v = mean if v is None else v
@@ -87,7 +87,7 @@ def page_hinkley(df: DataFrame, threshold: float = 5.0, delta: float = 0.005, al
         total = alpha * total + v - mean - delta
         low = min(low, total)
         score = total - low
-        alarm = n >= least and score > threshold
+        alarm = n >= least and score >= threshold
         return {"n": n + 1, "mean": v if alarm else mean, "total": 0.0 if alarm else total, "low": 0.0 if alarm else low}, {"score": score, "alarm": bool(alarm)}
 
     return carried(df, step, "score double, alarm boolean", **names)

@@ -27,17 +27,66 @@ def accuracy(got, truth):
 @pytest.mark.parametrize("method", ["cusum", "page_hinkley", "binary_segmentation", "pelt", "distributional", "bocpd"])
 def test_detectors_find_a_jump(method):
     x = np.concatenate([np.random.default_rng(1).normal(size=100), 6 + np.random.default_rng(2).normal(size=100)])
-    how = {"threshold": 20.0} if method == "page_hinkley" else {"most": 1} if method == "binary_segmentation" else {"threshold": 8.0} if method == "cusum" else {}
+    how = {"threshold": 20.0} if method == "page_hinkley" else {"most": 1} if method == "binary_segmentation" else {"threshold": 8.0, "drift": 0.5, "least": 20} if method == "cusum" else {"short": 3} if method == "bocpd" else {}
     _, cuts = changepoint.DETECTORS[method](x, **how)
     assert any(95 <= c <= 110 for c in cuts)
 
 
-def test_bayesian_online_keeps_every_run_length():
+def _series(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(12, 260))
+    return np.repeat(rng.normal(0, 3, n // 8 + 1), 8)[:n] + rng.normal(size=n) * rng.choice([0.05, 1.0])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_online_detectors_row_by_row(seed):
+    x, least, limit = _series(seed), 5, 4.0
+    # one row at a time, as the recurrences are written
+    mean, std, up, down, want, cuts = x[:least].mean(), x[:least].std(ddof=1) or 1.0, 0.0, 0.0, [], []
+    for i, v in enumerate(x):
+        z = (v - mean) / std
+        up, down = max(0.0, up + z - 0.2), max(0.0, down - z - 0.2)
+        want.append(max(up, down))
+        if i >= least and want[-1] >= limit:
+            cuts, up, down, mean = [*cuts, i], 0.0, 0.0, v
+    scores, got = changepoint.cusum(x, limit, 0.2, least)
+    assert got == cuts and np.allclose(scores, want)
+    mean = total = low = 0.0
+    want, cuts = [], []
+    for i, v in enumerate(x):
+        mean += (v - mean) / (i + 1)
+        total = 0.99 * total + v - mean - 0.005
+        low = min(low, total)
+        want.append(total - low)
+        if i >= least and want[-1] >= limit:
+            cuts, total, low, mean = [*cuts, i], 0.0, 0.0, v
+    scores, got = changepoint.page_hinkley(x, limit, 0.005, 0.99, least)
+    assert got == cuts and np.allclose(scores, want)
+
+
+def test_a_constant_baseline_has_deviation_one():
+    x = np.concatenate([np.full(30, 2.0), 2 + np.random.default_rng(0).normal(0, 0.1, 30)])
+    scores, cuts = changepoint.cusum(x, least=30)
+    assert not cuts and scores.max() < 2
+
+
+def test_shifted_series():
+    """30 rows of 0, 35 of 5, 30 of -2: the boundaries are 30 and 65."""
+    x = np.concatenate([np.zeros(30), np.full(35, 5.0), np.full(30, -2.0)])
+    assert changepoint.optimal_partition(x)[1] == [30, 65]
+    assert {30, 65} <= set(changepoint.binary_segmentation(x)[1])
+    assert any(abs(c - 30) <= 5 for c in changepoint.cusum(x)[1]) and {30, 65} <= set(changepoint.distributional(x, 10, 0.5)[1])
+    metrics_ = changepoint.boundary_metrics([31, 65, 80], [30, 65], 95)
+    assert metrics_["delay"] == 0.5 and metrics_["false_alarms"] == pytest.approx(1 / 95)
+
+
+@pytest.mark.parametrize("short", [0, 3])
+def test_bayesian_online_keeps_every_run_length(short):
     import math
 
-    x = np.random.default_rng(9).normal(size=700)
-    scale, hazard, want = x[:10].var(), 0.01, []
-    logp, runs = np.zeros(1), [(x[0], 1.0, 1.0, scale)]
+    x = np.random.default_rng(9).normal(size=500)
+    hazard, want, prior = 0.01, [], (0.0, 1.0, 1.0, 1.0)
+    logp, runs = np.zeros(1), [prior]
     for v in x:
         like = []
         for m, k, a, b in runs:
@@ -46,22 +95,54 @@ def test_bayesian_online_keeps_every_run_length():
         w = logp + like
         logp = np.concatenate([[np.logaddexp.reduce(w) + math.log(hazard)], w + math.log(1 - hazard)])
         logp -= np.logaddexp.reduce(logp)
-        runs = [(x[0], 1.0, 1.0, scale)] + [((k * m + v) / (k + 1), k + 1, a + 0.5, b + k * (v - m) ** 2 / (2 * (k + 1))) for m, k, a, b in runs]
-        want.append(np.exp(logp[:4]).sum())
-    assert np.allclose(changepoint.bayesian_online(x)[0], want, rtol=0, atol=1e-9)
+        runs = [prior] + [((k * m + v) / (k + 1), k + 1, a + 0.5, b + k * (v - m) ** 2 / (2 * (k + 1))) for m, k, a, b in runs]
+        want.append(np.exp(logp[: short + 1]).sum())
+    assert np.allclose(changepoint.bayesian_online(x, short=short)[0], want, rtol=0, atol=1e-9)
 
 
-def test_partition_is_optimal():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(m, 0.3, 12) for m in (0, 2, -1)])
-    s, q = changepoint._sums(x)
-    n, pen, least = len(x), 1.0, 3
+def _plain_cost(x, a, b):
+    return float(((x[a:b] - x[a:b].mean(0)) ** 2).sum())
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_partition_is_optimal(seed):
+    rng = np.random.default_rng(seed)
+    n, pen, least = int(rng.integers(8, 70)), float(rng.choice([0.3, 1.0, 3.0])), int(rng.integers(2, 6))
+    x = np.repeat(rng.normal(0, 2, n), rng.integers(1, 9))[:n] + rng.normal(size=n) * 0.5
+    if seed % 3 == 0:
+        x = np.stack([x, rng.normal(size=n)], 1)
     best = [-pen] + [np.inf] * n
     for t in range(least, n + 1):
-        best[t] = min(best[a] + changepoint._cost(s, q, a, t) + pen for a in [0, *range(least, t - least + 1)] if t - a >= least)
+        best[t] = min(best[a] + _plain_cost(x, a, t) + pen for a in [0, *range(least, t - least + 1)] if t - a >= least)
     cuts = changepoint.optimal_partition(x, pen, least)[1]
     ends = [0, *cuts, n]
-    assert sum(changepoint._cost(s, q, a, b) + pen for a, b in zip(ends, ends[1:], strict=False)) - pen == pytest.approx(best[n])
+    assert sum(_plain_cost(x, a, b) + pen for a, b in zip(ends, ends[1:], strict=False)) - pen == pytest.approx(best[n])
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_segmentation_and_kernel_scan_against_plain_loops(seed):
+    x, least = _series(seed)[:90], 5
+    segments, cuts, scores = [(0, len(x))], [], np.zeros(len(x))
+    for _ in range(4):
+        best = (0.0, None, None)
+        for a, b in segments:
+            for k in range(a + least, b - least + 1) if b - a >= 2 * least else ():
+                g = _plain_cost(x, a, b) - _plain_cost(x, a, k) - _plain_cost(x, k, b)
+                scores[k] = max(scores[k], g)
+                best = (g, k, (a, b)) if g > best[0] + 1e-9 else best
+        if best[1] is None or best[0] < 1.0:
+            break
+        cuts.append(best[1])
+        segments.remove(best[2])
+        segments += [(best[2][0], best[1]), (best[1], best[2][1])]
+    got = changepoint.binary_segmentation(x, 4, least)
+    assert got[1] == sorted(cuts) and np.allclose(got[0], scores, atol=1e-8)
+    w, want = 8, np.zeros(len(x))
+    k = lambda a, b: np.mean([[np.exp(-(p - q) ** 2 / max(x.var(), 1e-6)) for p in a] for q in b])
+    for i in range(w, len(x) - w):
+        a, b = x[i - w : i], x[i : i + w]
+        want[i] = max(0.0, k(a, a) + k(b, b) - 2 * k(a, b)) ** 0.5
+    assert np.allclose(changepoint.distributional(x, w)[0], want, atol=1e-7)
 
 
 def test_hmm_recovers_states_and_filters_online():
@@ -228,9 +309,9 @@ def test_online_equals_batch(spark, tmp_path):
     df = frame(spark, x)
     scores, cuts = changepoint.cusum(x)
     got = stream(spark, df, lambda s: online.cusum(s), tmp_path / "a")
-    assert got.t[got.alarm].tolist() == cuts and np.allclose(got.score[20:], scores[20:])
-    scores, cuts = changepoint.page_hinkley(x)
-    got = stream(spark, df, lambda s: online.page_hinkley(s), tmp_path / "b")
+    assert cuts and got.t[got.alarm].tolist() == cuts and np.allclose(got.score[5:], scores[5:])
+    scores, cuts = changepoint.page_hinkley(x, 20.0)
+    got = stream(spark, df, lambda s: online.page_hinkley(s, 20.0), tmp_path / "b")
     assert got.t[got.alarm].tolist() == cuts and np.allclose(got.score, scores)
     p = hmm.fit(x[:, None], hmm.Config(states=2))
     got = stream(spark, df, lambda s: online.hmm_filter(s, p), tmp_path / "c")
