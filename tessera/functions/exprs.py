@@ -64,19 +64,26 @@ class Panel:
 
 ASSET = Panel()
 
-# Coefficients of the rational approximation of the error function (absolute error below 1.5e-7).
-ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-ERF_P = 0.3275911
+# Hart's rational approximation of the normal distribution's tail below 7.07, highest power first, and where its continued fraction takes over.
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+TAIL_FROM = 7.07106781186547
 
 
 def _cdf(x: Column) -> Column:
-    z = F.abs(x) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + ERF_P * z)
-    poly = F.lit(ERF[4])
-    for c in ERF[3::-1]:
-        poly = poly * t + c
-    tail = 0.5 * poly * t * F.exp(-z * z)
-    return F.when(x >= 0, 1.0 - tail).otherwise(tail)
+    z = F.abs(x)
+
+    def poly(coefficients):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * z + c
+        return out
+
+    fraction = z + 0.65
+    for k in (4, 3, 2, 1):
+        fraction = z + k / fraction
+    tail = F.exp(-z * z / 2) * F.when(z < TAIL_FROM, poly(TAIL_ABOVE) / poly(TAIL_BELOW)).otherwise(1 / (fraction * 2.506628274631))
+    return F.when(x > 0, 1.0 - tail).otherwise(tail)
 
 
 def normal_cdf(x: Column) -> Column:

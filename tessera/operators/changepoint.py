@@ -159,8 +159,10 @@ def non_max_suppression(scores: np.ndarray, candidates: list[int], radius: int)
 
 
 def _ks(a: np.ndarray, b: np.ndarray) -> float:
+    """The largest distance of the two distributions, from counts, so equal distances are equal numbers."""
     both = np.sort(np.concatenate([a, b]))
-    return float(np.abs(np.searchsorted(np.sort(a), both, "right") / len(a) - np.searchsorted(np.sort(b), both, "right") / len(b)).max())
+    left, right = (np.searchsorted(np.sort(w), both, "right") for w in (a, b))
+    return float(np.abs(left * len(b) - right * len(a)).max() / (len(a) * len(b)))
 
 
 def _kernel_distance(x: np.ndarray, window: int, gamma: float) -> np.ndarray:

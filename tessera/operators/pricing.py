@@ -61,19 +61,26 @@ def black_scholes(option_type: Column, s: Column, k: Column, t: Column, r: Colum
 
 
 def greeks(option_type: Column, s: Column, k: Column, t: Column, r: Column, q: Column, v: Column) -> Column:
-    """delta, gamma, vega, theta for a day, rho for a point; zeros where degenerate."""
+    """delta, gamma, vega, theta for a day, rho for a point; zeros where degenerate.
+
+    The two distribution values and the density are bound once; every field is made of them.
+    """
     ok = (t > 0) & (v > 0)
     tt, vv = F.when(ok, t).otherwise(1.0), F.when(ok, v).otherwise(1.0)
     d1, d2 = d1_d2(s, k, tt, r, q, vv)
     sign = F.when(option_type == "call", 1.0).otherwise(-1.0)
-    dq, dr = F.exp(-q * tt), F.exp(-r * tt)
-    delta = sign * dq * normal_cdf(sign * d1)
-    gamma = dq * normal_pdf(d1) / (s * vv * F.sqrt(tt))
-    vega = s * dq * normal_pdf(d1) * F.sqrt(tt)
-    theta = (-s * dq * normal_pdf(d1) * vv / (2 * F.sqrt(tt)) - sign * r * k * dr * normal_cdf(sign * d2) + sign * q * s * dq * normal_cdf(sign * d1)) / 365
-    rho = sign * k * tt * dr * normal_cdf(sign * d2) / 100
-    z = lambda c: F.when(ok, c).otherwise(0.0)
-    return F.struct(z(delta).alias("delta"), z(gamma).alias("gamma"), z(vega).alias("vega"), z(theta).alias("theta"), z(rho).alias("rho"))
+    parts = F.struct(normal_cdf(sign * d1).alias("n1"), normal_cdf(sign * d2).alias("n2"), normal_pdf(d1).alias("p1"), sign.alias("sign"), F.exp(-q * tt).alias("dq"), F.exp(-r * tt).alias("dr"), s.alias("s"), k.alias("k"), tt.alias("t"), vv.alias("v"), r.alias("r"), q.alias("q"), ok.alias("ok"))
+
+    def fields(b):
+        root = F.sqrt(b["t"])
+        delta = b["sign"] * b["dq"] * b["n1"]
+        gamma = b["dq"] * b["p1"] / (b["s"] * b["v"] * root)
+        vega = b["s"] * b["dq"] * b["p1"] * root
+        theta = (-b["s"] * b["dq"] * b["p1"] * b["v"] / (2 * root) - b["sign"] * b["r"] * b["k"] * b["dr"] * b["n2"] + b["sign"] * b["q"] * b["s"] * b["dq"] * b["n1"]) / 365
+        rho = b["sign"] * b["k"] * b["t"] * b["dr"] * b["n2"] / 100
+        return F.struct(*[F.when(b["ok"], c).otherwise(0.0).alias(n) for n, c in (("delta", delta), ("gamma", gamma), ("vega", vega), ("theta", theta), ("rho", rho))])
+
+    return F.get(F.transform(F.array(parts), fields), F.lit(0))
 
 
 def implied_volatility(price: str, option_type: str, s: str, k: str, t: str, r: str, q: str, lower: float = 1e-6, upper: float = 5.0, tolerance: float = 1e-8, steps: int = 100) -> Column:
@@ -111,11 +118,18 @@ def implied_volatility(price: str, option_type: str, s: str, k: str, t: str, r:
     return solve(price, option_type, s, k, t, r, q)
 
 
-def quote_reasons(df_cols: dict[str, Column], age_seconds: Column, max_age: float = 900.0, max_spread: float = 0.25, min_size: float = 1.0, min_volume: float = 1.0, min_interest: float = 1.0) -> Column:
-    """Codes of what is wrong with a quote; missing sizes are not judged."""
+# The codes of what is wrong with a quote or a price.
+NEGATIVE, CROSSED, STALE, WIDE = "negative_bid_or_ask", "crossed_market", "stale_quote", "wide_spread"
+LOW_BID_SIZE, LOW_ASK_SIZE, LOW_VOLUME, LOW_OPEN_INTEREST = "low_bid_size", "low_ask_size", "low_volume", "low_open_interest"
+BELOW, ABOVE = "below_lower_bound", "above_upper_bound"
+
+
+def quote_reasons(df_cols: dict[str, Column], age_seconds: Column, max_age: float = 900.0, max_spread: float = 1.0, min_bid_size: float = 1.0, min_ask_size: float = 1.0, min_volume: float = 0.0, min_interest: float = 0.0) -> Column:
+    """Codes of what is wrong with a quote, in a fixed order; missing sizes are not judged, nor is the spread about a mid that is not positive."""
     bid, ask = df_cols["bid"], df_cols["ask"]
-    rel = F.try_divide(ask - bid, (ask + bid) / 2)
-    checks = [("negative", (bid < 0) | (ask < 0)), ("crossed", bid > ask), ("stale", age_seconds > max_age), ("wide", rel > max_spread), ("low_bid_size", df_cols["bid_size"] < min_size), ("low_ask_size", df_cols["ask_size"] < min_size), ("low_volume", df_cols["volume"] < min_volume), ("low_open_interest", df_cols["open_interest"] < min_interest)]
+    mid = (ask + bid) / 2
+    lowest = [(LOW_BID_SIZE, "bid_size", min_bid_size), (LOW_ASK_SIZE, "ask_size", min_ask_size), (LOW_VOLUME, "volume", min_volume), (LOW_OPEN_INTEREST, "open_interest", min_interest)]
+    checks = [(NEGATIVE, (bid < 0) | (ask < 0)), (CROSSED, bid > ask), (STALE, age_seconds > max_age), (WIDE, (mid > 0) & (F.try_divide(ask - bid, mid) > max_spread)), *[(code, df_cols[c] < least) for code, c, least in lowest]]
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks]))
 
 
@@ -124,7 +138,7 @@ def no_arbitrage(option_type: Column, price: Column, s: Column, k: Column, t: Co
     a, b = s * F.exp(-q * t), k * F.exp(-r * t)
     call = option_type == "call"
     lower, upper = F.greatest(F.when(call, a - b).otherwise(b - a), F.lit(0.0)), F.when(call, a).otherwise(b)
-    reasons = F.array_compact(F.array(F.when(price < lower - 1e-12, "below_lower"), F.when(price > upper + 1e-12, "above_upper")))
+    reasons = F.array_compact(F.array(F.when(price < lower, BELOW), F.when(price > upper, ABOVE)))
     return F.struct((F.size(reasons) == 0).alias("valid"), lower.alias("lower"), upper.alias("upper"), reasons.alias("reasons"))
 
 

@@ -27,8 +27,8 @@ def lag(x: str, n: int = 1) -> str:
     return f"lag({x}, {n}) OVER ({W})"
 
 
-def r6(**cols: str) -> str:
-    return ", ".join(f'round({e} + 3.7e-9::DOUBLE, 6) + 0 AS "{k}"' for k, e in cols.items())
+def r6(digits: int = 6, /, **cols: str) -> str:
+    return ", ".join(f'round({e} + 3.7e-9::DOUBLE, {digits}) + 0 AS "{k}"' for k, e in cols.items())
 
 
 def own(df, n_before: list[str], digits: int = 6):
@@ -60,8 +60,8 @@ X = I.MARKET + """, x AS (SELECT *, low AS bid, high AS ask, 1000 + users AS sha
   ret AS equity, volume / 100 AS rates, market AS credit, users / 10 AS dollar, market AS commodity FROM mkt)"""
 
 
-def _select(base: str, name: str, cols: dict[str, str], keys: str = "asset, t", tail: str = "") -> str:
-    return f"WITH {base} SELECT {keys}, {r6(**cols)} FROM {name} {tail}"
+def _select(base: str, name: str, cols: dict[str, str], keys: str = "asset, t", tail: str = "", digits: int = 6) -> str:
+    return f"WITH {base} SELECT {keys}, {r6(digits, **cols)} FROM {name} {tail}"
 
 
 def _dependence(a: str, b: str, name: str, n: int = 63) -> dict[str, str]:
@@ -202,12 +202,12 @@ def oracle_sql() -> dict[str, str]:
     for n in (21, 63):
         semi[f"downside_semivariance_{n}"] = f"({full('avg(dn)', 'dn', n)}) * 252"
         semi[f"upside_semivariance_{n}"] = f"({full('avg(up)', 'up', n)}) * 252"
-    o["feature_semivariance"] = _select(I.RETURNS + ", s AS (SELECT *, CASE WHEN ret IS NOT NULL THEN least(ret, 0) * least(ret, 0) END AS dn, CASE WHEN ret IS NOT NULL THEN greatest(ret, 0) * greatest(ret, 0) END AS up FROM rets)", "s", semi)
+    o["feature_semivariance"] = _select(I.RETURNS + ", s AS (SELECT *, CASE WHEN ret IS NOT NULL THEN least(ret, 0) * least(ret, 0) END AS dn, CASE WHEN ret IS NOT NULL THEN greatest(ret, 0) * greatest(ret, 0) END AS up FROM rets)", "s", semi, digits=3)
     bp = I.RETURNS + f", s AS (SELECT *, abs(ret) * abs({lag('ret')}) AS bp, ret * ret AS sq FROM rets)"
     biv = {n: f"pi() / 2 * ({full('sum(bp)', 'bp', n)}) * 252 / {n}" for n in (21, 63)}
-    o["feature_bipower_variation"] = _select(bp, "s", {f"bipower_variation_{n}": e for n, e in biv.items()})
+    o["feature_bipower_variation"] = _select(bp, "s", {f"bipower_variation_{n}": e for n, e in biv.items()}, digits=3)
     jump = {n: f"({full('sum(sq)', 'sq', n)}) * 252 / {n} - {biv[n]}" for n in (21, 63)}
-    o["feature_jump_variation"] = _select(bp, "s", {f"jump_variation_{n}": f"CASE WHEN {e} IS NOT NULL THEN greatest({e}, 0) END" for n, e in jump.items()})
+    o["feature_jump_variation"] = _select(bp, "s", {f"jump_variation_{n}": f"CASE WHEN {e} IS NOT NULL THEN greatest({e}, 0) END" for n, e in jump.items()}, digits=3)
     o["feature_volatility_of_volatility"] = _select(I.RETURNS + f", s AS (SELECT *, {full('stddev_samp(ret)', 'ret', 21)} AS v FROM rets)", "s", {f"vol_of_vol_{n}": full("stddev_samp(v)", "v", n) for n in (21, 63)})
     cuts = ", ".join(f"{full(f'quantile_cont(ret, {q})', 'ret', n)} AS v{int(q * 100):02d}_{n}" for n in (63, 252) for q in (0.01, 0.05))
     lists = ", ".join(f"{full('list(ret)', 'ret', n)} AS l{n}" for n in (63, 252))
@@ -263,11 +263,9 @@ def oracle_sql() -> dict[str, str]:
     o["options_put_call_richness"] = by_t(I.OPTIONS, "opts", {"put_call_richness": f"{_nearest('iv', pc, 'delta < 0')} - {_nearest('iv', pc, 'delta > 0')}"})
     o["options_liquidity"] = by_t(I.OPTIONS, "opts", {"mean_relative_spread": "avg((ask - bid) / nullif((ask + bid) / 2, 0))", "total_volume": "sum(volume)", "total_open_interest": "sum(open_interest)"})
     n = "spot * open_interest * 100"
-    o["options_exposures"] = by_t(I.OPTIONS, "opts", {"gamma_exposure": f"sum({n} * gamma)", "vanna_exposure": f"sum({n} * vega * delta)", "charm_exposure": f"sum(-({n}) * delta / greatest(tenor_days, 1))"}).replace(", 6)", ", 2)")
+    o["options_exposures"] = _select(I.OPTIONS, "opts", {"gamma_exposure": f"sum({n} * gamma)", "vanna_exposure": f"sum({n} * vega * delta)", "charm_exposure": f"sum(-({n}) * delta / greatest(tenor_days, 1))"}, "t", "GROUP BY t", 2)
     ic = I.OPTIONS + ", p AS (SELECT t, option_type, avg(iv) AS iv, sum(volume) AS v FROM opts GROUP BY 1, 2), w AS (SELECT t, avg(iv) * 0.9::DOUBLE AS index_iv, sum(volume) AS a FROM opts GROUP BY 1), j AS (SELECT t, index_iv, iv, v / a AS weight FROM p JOIN w USING (t)), g AS (SELECT t, index_iv, sum(weight * weight * iv * iv) o, avg(iv * iv) m, sum(weight) w, sum(weight * weight) ww FROM j GROUP BY 1, 2)"
     o["options_implied_correlation"] = _select(ic, "g", {"implied_correlation": "(index_iv * index_iv - o) / nullif(m, 0) / nullif(w * w - ww, 0)"}, "t")
     rv = full("stddev_samp(ret)", "ret", 21)
-    o["options_variance_risk_premium"] = _select(I.RETURNS + f", s AS (SELECT *, ({rv}) * sqrt(252.0) AS rv, volume / 10 AS iv FROM rets)", "s", {"implied_variance": "iv * iv", "realized_variance": "rv * rv", "variance_risk_premium": "iv * iv - rv * rv"}).replace(", 6)", ", 4)")
-    for k in ("feature_semivariance", "feature_jump_variation", "feature_bipower_variation"):
-        o[k] = o[k].replace(", 6)", ", 3)")
+    o["options_variance_risk_premium"] = _select(I.RETURNS + f", s AS (SELECT *, ({rv}) * sqrt(252.0) AS rv, volume / 10 AS iv FROM rets)", "s", {"implied_variance": "iv * iv", "realized_variance": "rv * rv", "variance_risk_premium": "iv * iv - rv * rv"}, digits=4)
     return o

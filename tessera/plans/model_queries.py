@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import backtest, changepoint, pricing
+from tessera.operators import backtest, pricing
 from tessera.operators.models import hmm, other
 from tessera.plans import inputs as I
 from tessera.plans.feature_queries import K, r6, rows
@@ -32,32 +32,29 @@ def _cols():
 
 
 def _priced(s, d):
-    c = _contracts(s, d).withColumn("price", pricing.black_scholes(*_cols()))
-    return I.rounded(c.groupBy("kind", "k").agg(F.count("*").alias("n"), F.avg("price").alias("mean_price"), F.max("price").alias("max_price")), ["kind", "k", "n"], 5)
+    return I.rounded(_contracts(s, d).select("id", pricing.black_scholes(*_cols()).alias("price")), ["id"])
 
 
 def _greeks(s, d):
-    c = _contracts(s, d).withColumn("g", pricing.greeks(*_cols()))
-    return I.rounded(c.groupBy("kind", "k").agg(*[F.avg(f"g.{x}").alias(x) for x in ("delta", "gamma", "vega", "theta", "rho")]), ["kind", "k"], 5)
+    return I.rounded(_contracts(s, d).select("id", pricing.greeks(*_cols()).alias("g")).select("id", "g.*"), ["id"], 5)
 
 
 def _implied(s, d):
-    """Volatilities back from prices: the share that returns to the given one."""
+    """Volatilities back from prices: whether each reprices, and the volatility where the price depends on it."""
     c = _contracts(s, d).withColumn("price", pricing.black_scholes(*_cols())).withColumn("iv", pricing.implied_volatility("price", "kind", "s", "k", "t", "r", "q"))
-    near = F.abs(F.col("iv") - F.col("v")) < 1e-3
-    # a price without time value says nothing of the volatility
-    return c.filter("price > 0.05").groupBy("kind").agg(F.count("*").alias("n"), (F.sum(near.cast("long")) >= 0.97 * F.count("*")).alias("recovered"))
+    again, vega = pricing.black_scholes(*_cols()[:-1], F.col("iv")), pricing.greeks(*_cols())["vega"]
+    return c.select("id", (F.abs(again - F.col("price")) < 1e-6).alias("reprices"), F.when(vega >= 0.01, F.round("iv", 3)).alias("iv"))
 
 
 def _reasons(s, d):
     c = _contracts(s, d).withColumns({"bid": F.col("l_extendedprice") / 1000, "ask": F.col("l_extendedprice") / 1000 * (1 + F.col("x") * 3 - 0.02), "age": F.col("volume") * 30, "size": F.col("volume") - 3})
     cols = {"bid": F.col("bid"), "ask": F.col("ask"), "bid_size": F.col("size"), "ask_size": F.when(F.col("volume") > 5, F.col("volume")), "volume": F.col("volume"), "open_interest": F.lit(5.0)}
-    return c.groupBy(F.array_join(pricing.quote_reasons(cols, F.col("age")), ",").alias("reasons")).agg(F.count("*").alias("n"))
+    return c.select("id", F.array_join(pricing.quote_reasons(cols, F.col("age"), max_spread=0.25, min_volume=3.0), ",").alias("reasons"))
 
 
 def _bounds(s, d):
     c = _contracts(s, d).withColumn("b", pricing.no_arbitrage(F.col("kind"), F.col("volume"), *[F.col(x) for x in ("s", "k", "t", "r", "q")]))
-    return I.rounded(c.groupBy("kind", "b.valid").agg(F.count("*").alias("n"), F.avg("b.lower").alias("lower"), F.avg("b.upper").alias("upper")), ["kind", "valid", "n"], 5)
+    return I.rounded(c.select("id", "b.valid", "b.lower", "b.upper", F.array_join("b.reasons", ",").alias("reasons")), ["id", "valid", "reasons"])
 
 
 def _normalized(s, d):
@@ -129,10 +126,6 @@ def _exposures(s, d):
     return I.rounded(backtest.factor_exposures(w, m.select("t", "asset", "ret"), f), ["t", "factor"])
 
 
-def _detector(method, **how):
-    return lambda s, d: changepoint.detect(I.bars(s, d), method, "close", **how)
-
-
 def _series(label, features=("close", "volume")):
     return lambda s, d: other.per_series(I.bars(s, d), list(features), label)
 
@@ -165,7 +158,6 @@ def queries() -> dict:
     q = {
         "pricing_black_scholes": _priced, "pricing_greeks": _greeks, "pricing_implied_volatility": _implied, "pricing_quote_reasons": _reasons, "pricing_no_arbitrage": _bounds, "pricing_normalization": _normalized, "pricing_surface": _surface,
         "backtest_equity": _equity, "backtest_equity_limits": _equity_knobs, "backtest_options": _options, "backtest_contract_selection": _selected, "backtest_performance_by": _performance, "backtest_rolling_betas": _betas, "backtest_factor_exposures": _exposures,
-        "changepoint_cusum": _detector("cusum"), "changepoint_page_hinkley": _detector("page_hinkley"), "changepoint_binary_segmentation": _detector("binary_segmentation"), "changepoint_pelt": _detector("pelt"), "changepoint_distributional": _detector("distributional"), "changepoint_mmd": _detector("distributional", kernel=True, threshold=0.2), "changepoint_bocpd": _detector("bocpd"),
         "model_kmeans": lambda s, d: other.kmeans_regimes(_small(s, d).filter("ret is not null"), ["ret", "volume"]).select(*K, "state"),
         "model_gaussian_mixture": lambda s, d: other.mixture_regimes(_small(s, d).filter("ret is not null"), ["ret", "volume"]).select(*K, "state"),
         "model_hierarchical": _series(lambda x: other.hierarchical(x, 3)),
@@ -189,8 +181,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     price = f"g * (s * dq * {cdf('(g * d1)')} - k * dr * {cdf('(g * d2)')})"
     gr = {"delta": f"g * dq * {cdf('(g * d1)')}", "gamma": "dq * ph / (s * v * sqrt(t))", "vega": "s * dq * ph * sqrt(t)", "theta": f"(-s * dq * ph * v / (2 * sqrt(t)) - g * r * k * dr * {cdf('(g * d2)')} + g * q * s * dq * {cdf('(g * d1)')}) / 365", "rho": f"g * k * t * dr * {cdf('(g * d2)')} / 100"}
-    five = lambda q: q.replace(", 6)", ", 5)")
-    reasons = "concat_ws(',', CASE WHEN bid < 0 OR ask < 0 THEN 'negative' END, CASE WHEN bid > ask THEN 'crossed' END, CASE WHEN volume * 30 > 900 THEN 'stale' END, CASE WHEN (ask - bid) / nullif((ask + bid) / 2, 0) > 0.25 THEN 'wide' END, CASE WHEN volume - 3 < 1 THEN 'low_bid_size' END, CASE WHEN volume > 5 AND volume < 1 THEN 'low_ask_size' END, CASE WHEN volume < 1 THEN 'low_volume' END)"
+    reasons = "concat_ws(',', CASE WHEN bid < 0 OR ask < 0 THEN 'negative_bid_or_ask' END, CASE WHEN bid > ask THEN 'crossed_market' END, CASE WHEN volume * 30 > 900 THEN 'stale_quote' END, CASE WHEN ask + bid > 0 AND (ask - bid) / ((ask + bid) / 2) > 0.25 THEN 'wide_spread' END, CASE WHEN volume - 3 < 1 THEN 'low_bid_size' END, CASE WHEN volume > 5 AND volume < 1 THEN 'low_ask_size' END, CASE WHEN volume < 3 THEN 'low_volume' END)"
     lo, hi = "greatest(CASE WHEN kind = 'call' THEN s * dq - k * dr ELSE k * dr - s * dq END, 0)", "CASE WHEN kind = 'call' THEN s * dq ELSE k * dr END"
     pts = I.OPTIONS + ", p AS (SELECT t, tenor_days AS tenor, round(moneyness * 10) / 10 AS m, avg(iv) AS vol FROM opts GROUP BY 1, 2, 3), z AS (SELECT t, vol, abs(40.0::DOUBLE - tenor) + abs(1.05::DOUBLE - m) AS d FROM p)"
     bw = rows(63)
@@ -200,16 +191,16 @@ def oracle_sql() -> dict[str, str]:
     group = lambda name, e: f"SELECT '{name}' AS \"grouping\", {e} AS bucket, {pnl} AS pnl FROM sel"
     stacked = " UNION ALL ".join([group("tenor_bucket", bucket("tenor", [0, 7, 21, 60])), group("volatility_bucket", bucket("iv", [0, 0.12, 0.16, 1])), group("option_type", "option_type")])
     return {
-        "pricing_black_scholes": five(f"WITH {CON}, f AS (SELECT *, {price} AS price FROM e) SELECT kind, k, count(*) AS n, {r6(mean_price='avg(price)', max_price='max(price)')} FROM f GROUP BY kind, k"),
-        "pricing_greeks": five(f"WITH {CON} SELECT kind, k, {r6(**{x: f'avg({y})' for x, y in gr.items()})} FROM e GROUP BY kind, k"),
-        "pricing_implied_volatility": f"WITH {CON} SELECT kind, count(*) AS n, true AS recovered FROM e WHERE {price} > 0.05 GROUP BY kind",
-        "pricing_quote_reasons": f"WITH {CON}, w AS (SELECT volume, l_extendedprice / 1000 AS bid, l_extendedprice / 1000 * (1 + x * 3 - 0.02::DOUBLE) AS ask FROM con) SELECT {reasons} AS reasons, count(*) AS n FROM w GROUP BY 1",
-        "pricing_no_arbitrage": five(f"WITH {CON}, b AS (SELECT kind, volume, {lo} AS lo, {hi} AS hi FROM e) SELECT kind, NOT (volume < lo - 1e-12 OR volume > hi + 1e-12) AS valid, count(*) AS n, {r6(lower='avg(lo)', upper='avg(hi)')} FROM b GROUP BY 1, 2"),
+        "pricing_black_scholes": f"WITH {CON} SELECT id, {r6(price=price)} FROM e",
+        "pricing_greeks": f"WITH {CON} SELECT id, {r6(5, **gr)} FROM e",
+        "pricing_implied_volatility": f"WITH {CON} SELECT id, true AS reprices, CASE WHEN {gr['vega']} >= 0.01 THEN round(v, 3) END AS iv FROM e",
+        "pricing_quote_reasons": f"WITH {CON}, w AS (SELECT id, volume, l_extendedprice / 1000 AS bid, l_extendedprice / 1000 * (1 + x * 3 - 0.02::DOUBLE) AS ask FROM con) SELECT id, {reasons} AS reasons FROM w",
+        "pricing_no_arbitrage": f"WITH {CON}, b AS (SELECT id, volume, {lo} AS lo, {hi} AS hi FROM e) SELECT id, NOT (volume < lo OR volume > hi) AS valid, {r6(lower='lo', upper='hi')}, concat_ws(',', CASE WHEN volume < lo THEN 'below_lower_bound' END, CASE WHEN volume > hi THEN 'above_upper_bound' END) AS reasons FROM b",
         "pricing_normalization": "SELECT 'ORD' || o_orderkey || 'X' AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS expiration, round(o_totalprice, 2) AS strike, CASE WHEN o_orderstatus = 'F' THEN 'call' ELSE 'put' END AS option_type FROM orders",
-        "pricing_surface": five(f"WITH {pts} SELECT t, {r6(vol='coalesce(max(CASE WHEN d = 0 THEN vol END), sum(CASE WHEN d > 0 THEN vol / d END) / nullif(sum(CASE WHEN d > 0 THEN 1 / d END), 0))')} FROM z GROUP BY t"),
-        "backtest_equity": f"WITH {EQUITY} SELECT t, {r6(gross_return='g', turnover='turnover', gross='gross', net='net', cost='cost', net_return='g - cost', equity='exp(sum(ln(greatest(1 + g - cost, 1e-12))) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))')} FROM c".replace(", 6)", ", 8)"),
+        "pricing_surface": f"WITH {pts} SELECT t, {r6(5, vol='coalesce(max(CASE WHEN d = 0 THEN vol END), sum(CASE WHEN d > 0 THEN vol / d END) / nullif(sum(CASE WHEN d > 0 THEN 1 / d END), 0))')} FROM z GROUP BY t",
+        "backtest_equity": f"WITH {EQUITY} SELECT t, {r6(8, gross_return='g', turnover='turnover', gross='gross', net='net', cost='cost', net_return='g - cost', equity='exp(sum(ln(greatest(1 + g - cost, 1e-12))) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))')} FROM c",
         "backtest_contract_selection": f"WITH {SELECTED} SELECT t, option_type, {r6(strike='strike', selection_error='err', spread_pct='spread_pct')} FROM sel",
-        "backtest_performance_by": five(f"WITH {SELECTED}, u AS ({stacked}) SELECT \"grouping\", bucket, count(*) AS contracts, {r6(pnl='sum(pnl)', mean_pnl='avg(pnl)')} FROM u WHERE bucket IS NOT NULL GROUP BY 1, 2"),
+        "backtest_performance_by": f"WITH {SELECTED}, u AS ({stacked}) SELECT \"grouping\", bucket, count(*) AS contracts, {r6(5, pnl='sum(pnl)', mean_pnl='avg(pnl)')} FROM u WHERE bucket IS NOT NULL GROUP BY 1, 2",
         "backtest_rolling_betas": f"WITH {I.MARKET} SELECT asset, t, {r6(beta=f'coalesce(CASE WHEN count({both}) OVER {bw} >= 3 THEN covar_samp(ret, market) OVER {bw} / nullif(var_samp(CASE WHEN TRUE THEN market END) OVER {bw}, 0) END, 0)')} FROM mkt",
         "backtest_factor_exposures": f"WITH {I.MARKET}, b AS (SELECT asset, coalesce(covar_samp(ret, market) / nullif(var_samp(market), 0), 0) AS beta FROM mkt GROUP BY asset) SELECT t, 'm' AS factor, {r6(exposure='sum(1.0::DOUBLE / length(asset) * beta)')} FROM rets JOIN b USING (asset) GROUP BY t",
         "model_smooth_transition": f"WITH {SMALL} SELECT asset, t, {r6(weight='1 / (1 + exp(-50.0::DOUBLE * ret))')} FROM sm",

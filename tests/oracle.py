@@ -24,6 +24,7 @@ def same(a, b):
 def compare(spark, name, query, sql, sf_dir):
     """None, or what differs."""
     con = duckdb.connect()
+    con.execute("SET max_temp_directory_size = '4GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(sql)

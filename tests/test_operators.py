@@ -1,6 +1,7 @@
 """Operators that SQL cannot check: known answers, invariants and recovery of planted states."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -352,3 +353,30 @@ def test_registry_and_stages(tmp_path):
     assert reg.compare("default", "loss")["ranked"] == [("m", 0.5)] and len(reg.artifacts(run.id, "summary")) == 1
     assert ex.optimize(ex.SearchSpace({"x": (0.0, 1.0)}), lambda p: (p["x"] - 0.3) ** 2, 50)["value"] < 0.01
     assert ex.Report("t").table("x", [{"a": 1}]).line("y", [1.0, 2.0]).write(tmp_path / "r.html").exists()
+
+
+def test_the_normal_distribution_has_double_precision(spark):
+    from tessera.functions.exprs import normal_cdf
+
+    xs = [k / 8 for k in range(-304, 305)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(normal_cdf(F.col("x"))).collect()]
+    for x, g in zip(xs, got, strict=True):
+        assert g == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), rel=1e-9, abs=1e-300)
+    # tabulated
+    at = dict(zip(xs, got, strict=True))
+    assert at[1.0] == pytest.approx(0.8413447460685429, abs=1e-15) and at[-2.0] == pytest.approx(0.022750131948179195, abs=1e-15) and at[0.0] == 0.5
+
+
+def test_quotes_and_bounds(spark):
+    from tessera.operators import pricing
+
+    lit = {"bid": F.lit(4.0), "ask": F.lit(3.5), "bid_size": F.lit(0.0), "ask_size": F.lit(0.0), "volume": F.lit(0.0), "open_interest": F.lit(0.0)}
+    got = spark.range(1).select(pricing.quote_reasons(lit, F.lit(3600.0), min_volume=1, min_interest=1)).first()[0]
+    assert got == ["crossed_market", "stale_quote", "low_bid_size", "low_ask_size", "low_volume", "low_open_interest"]
+    a = [F.lit(x) for x in (100.0, 100.0, 0.5, 0.03, 0.01)]
+    price = spark.range(1).select(pricing.black_scholes(F.lit("call"), *a, F.lit(0.2)).alias("p"))
+    p = price.first().p
+    r = price.select(pricing.no_arbitrage(F.lit("call"), F.lit(-1.0), *a).alias("low"), pricing.no_arbitrage(F.lit("call"), F.lit(101.0), *a).alias("high"), pricing.no_arbitrage(F.lit("call"), F.col("p"), *a).alias("ok"), pricing.greeks(F.lit("call"), *a, F.lit(0.2)).alias("g")).first()
+    assert r.low.reasons == ["below_lower_bound"] and r.high.reasons == ["above_upper_bound"] and r.ok.valid and 0 < r.g.delta < 1 and r.g.vega > 0
+    iv = spark.createDataFrame([(p, "call", 100.0, 100.0, 0.5, 0.03, 0.01)], "p double, o string, s double, k double, t double, r double, q double").select(pricing.implied_volatility("p", "o", "s", "k", "t", "r", "q")).first()[0]
+    assert iv == pytest.approx(0.2, abs=1e-6)
