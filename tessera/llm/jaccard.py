@@ -2,7 +2,7 @@
 
 Texts with equal n-gram sets form a class first, so copies cost one row each.
 Classes are shuffled on their band hashes; what shares a band is compared by
-sketches, a byte of each of the bands' minima, and a pair goes on if its sketches
+sketches, 16 bits of each of the bands' minima, and a pair goes on if its sketches
 agree in as many places as a pair exactly at the threshold does with probability
 ``RECALL``.  The components of those pairs are the candidate groups, so texts that
 merely share a template meet in a band and part again.  Within a candidate group
@@ -115,24 +115,19 @@ class Hasher:
         return out
 
 
-def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, bands) hashes, and (texts, bands * rows) bytes of the minima; the sets must not be empty."""
+def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int = 2) -> np.ndarray:
+    """(texts, bands * rows) 16 bits of each minimum; a band is equal where its ``rows`` numbers are. The sets must not be empty."""
     rng = np.random.default_rng(seed)
     mul = rng.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**64, bands * rows, np.uint64)
     flat = np.concatenate(sets)
     start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out, sketch, tmp = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), bands * rows), np.uint8), np.empty_like(flat)
-    for b in range(bands):
-        got = np.full(len(sets), b, np.uint64)
-        for k in range(b * rows, (b + 1) * rows):
-            np.multiply(flat, mul[k], out=tmp)
-            np.add(tmp, add[k], out=tmp)
-            least = np.minimum.reduceat(tmp, start)
-            got = mix64(got * np.uint64(_BASE) + least)
-            sketch[:, k] = mix64(least)
-        out[:, b] = got
-    return out.view(np.int64), sketch
+    out, tmp = np.zeros((len(sets), bands * rows), np.uint16), np.empty_like(flat)
+    for k in range(bands * rows):
+        np.multiply(flat, mul[k], out=tmp)
+        np.add(tmp, add[k], out=tmp)
+        out[:, k] = mix64(np.minimum.reduceat(tmp, start))
+    return out
 
 
 def least_agreement(places: int, threshold: float, recall: float) -> int:
@@ -159,7 +154,7 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK):
 
 
 def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """texts: _uid, text. _uid, digest (null without n-grams), grams, bands, sketch."""
+    """texts: _uid, text. _uid, digest (null without n-grams), grams, bands (hashes by place), sketch (all minima)."""
 
     def run(batches):
         hasher = Hasher(n)
@@ -168,61 +163,79 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for at, some in chunks(batch, 1):
                 sets = hasher(some)
                 full = [s for s in sets if len(s)]
-                sig = zip(*band_hashes(full, bands, rows), strict=True) if full else iter(())
+                minima = band_hashes(full, bands, rows) if full else np.zeros((0, bands * rows), np.uint16)
+                keys = np.zeros((len(full), bands), np.uint64)
+                for k in range(rows):  # the place is part of the hash, so bands of different places meet nowhere
+                    keys = mix64(keys * np.uint64(_BASE) + minima[:, k::rows] + np.arange(bands, dtype=np.uint64) * np.uint64(k == 0))
+                sig = iter(zip(keys.view(np.int64), minima, strict=True))
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sigs = [next(sig) if len(s) else (None, None) for s in sets]
-                sketch = [None if k is None else k.tobytes() for _, k in sigs]
+                sketch = [None if m is None else m.tobytes() for _, m in sigs]
                 yield pa.RecordBatch.from_arrays([uid.slice(at, len(some)), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([b for b, _ in sigs], pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["_uid", "digest", "grams", "bands", "sketch"])
 
     return texts.mapInArrow(run, "_uid long, digest binary, grams long, bands array<long>, sketch binary")
 
 
-def agreeing(sketch: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (rows) that connect, within each group, all rows that agreeing pairs connect; groups are runs of rows.
+def agreeing(sketch: np.ndarray, group: np.ndarray, place: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (rows of the arrays) by which, over all bands, agreeing pairs connect what they connect; groups are runs of rows.
 
     Rows that agree with their group's first are one component by that; only what
     is left is compared with the whole group, so a group of near copies costs a
-    comparison for each row.
+    comparison for each row.  A pair that is equal in an earlier band met there, so
+    its edge is left out here.
     """
     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(cut, len(group)))
-    first = np.repeat(cut, size)
-    near = np.empty(len(group), bool)
-    for k in range(0, len(group), 1 << 16):
-        near[k : k + (1 << 16)] = np.count_nonzero(sketch[k : k + (1 << 16)] == sketch[first[k : k + (1 << 16)]], axis=1) >= least
-    x = np.flatnonzero(near)
-    a, b = [first[x]], [x]
-    apart = np.flatnonzero(~near & (np.repeat(size, size) > 2))
-    for u in apart.tolist():
-        lo = first[u]
-        k = int(np.searchsorted(cut, lo))
-        y = lo + np.flatnonzero(np.count_nonzero(sketch[lo : lo + size[k]] == sketch[u], axis=1) >= least)
+    own = np.repeat(np.arange(len(cut)), size)
+
+    def near(x, y):
+        """Which pairs agree, and are equal in no band before theirs."""
+        same = sketch[x] == sketch[y]
+        ok = np.count_nonzero(same, axis=1) >= least
+        met = same.reshape(len(same), -1, rows).all(2)
+        return ok, ok & ~(met & (np.arange(met.shape[1]) < place[y][:, None])).any(1)
+
+    a, b, apart = [], [], []
+    for k in range(0, len(group), 1 << 14):
+        x = np.arange(k, min(len(group), k + (1 << 14)))
+        first = cut[own[x]]
+        ok, new = near(first, x)
+        new &= first != x
+        a.append(first[new])
+        b.append(x[new])
+        apart += x[~ok & (size[own[x]] > 2)].tolist()
+    for u in apart:
+        y = np.arange(cut[own[u]], cut[own[u]] + size[own[u]])
+        y = y[near(np.full(len(y), u), y)[1] & (y != u)]
         a.append(np.full(len(y), u))
         b.append(y)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
+    return np.concatenate(a), np.concatenate(b)
 
 
-def sketched(work: DataFrame, least: int) -> DataFrame:
-    """work: band, i, j, node, sketch, sorted by the first three. Edges a-b between nodes."""
+def sketched(work: DataFrame, rows: int, least: int) -> DataFrame:
+    """work: band, i, j, place, node, sketch, sorted by the first three. Edges a-b between nodes."""
+
+    def keys(batch):
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
 
     def run(batches):
         rest = None
         for batch in batches:
-            rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0] if rest.num_rows else batch
-            key = np.stack([rest.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            rest = batch if rest is None or not rest.num_rows else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            key = keys(rest)
             new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             if len(new):  # the last group may go on in the next batch
-                yield emit(rest.slice(0, int(new[-1])), key[:, : new[-1]])
+                yield emit(rest.slice(0, int(new[-1])))
                 rest = rest.slice(int(new[-1]))
         if rest is not None and rest.num_rows:
-            yield emit(rest, np.stack([rest.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)]))
+            yield emit(rest)
 
-    def emit(rows, key):
+    def emit(batch):
+        key = keys(batch)
         group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
-        node = rows.column(3).to_numpy()
-        sketch = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
-        a, b = (node[x] for x in agreeing(sketch, group, least))
+        node, place = batch.column(4).to_numpy(), batch.column(3).to_numpy()
+        sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(len(node), -1)
+        a, b = (node[x] for x in agreeing(sketch, group, place, rows, least))
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -287,7 +300,7 @@ def verified(work: DataFrame, threshold: float, least: int) -> DataFrame:
         sets = [np.frombuffer(r[4], np.uint64) for r in kept]
         sizes = np.array([len(s) for s in sets])
         start = np.cumsum(sizes) - sizes
-        sketch, n = np.stack([np.frombuffer(r[3], np.uint8) for r in kept]), np.array([r[2] for r in kept])
+        sketch, n = np.stack([np.frombuffer(r[3], np.uint16) for r in kept]), np.array([r[2] for r in kept])
         split = sum(r[0] == i for r in kept)
         links, forest, edges = np.zeros(len(kept), np.int64), Forest(len(kept)), []
         for x, ys in linked(sizes, np.concatenate(sets), start, sketch, least, 0 if i == j else split, split, threshold):
@@ -343,15 +356,15 @@ def marked(t: DataFrame, nodes: DataFrame, bits: int = BITS, most: int = MOST_MA
     return t.join(F.broadcast(maps), hit, "left_semi")
 
 
-def candidate_groups(reps: DataFrame, least: int) -> DataFrame:
+def candidate_groups(reps: DataFrame, rows: int, least: int) -> DataFrame:
     """node, cluster of the classes with a partner: components of the pairs that share a band and agree in their sketches."""
-    banded = reps.select("node", F.explode("bands").alias("band"))
+    banded = reps.select("node", F.posexplode("bands").alias("place", "band"))
     large = banded.groupBy("band").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).filter("k > 1").drop("k")
     hits = banded.join(large, "band").join(reps.select("node", "sketch"), "node")
-    work = blocked(hits, ["band"]).select("band", "i", "j", "node", "sketch")
+    work = blocked(hits, ["band"]).select("band", "i", "j", "place", "node", "sketch")
     parts = partitions_for(reps)
     dealt = work.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    return durable(components(sketched(dealt, least)).select("node", F.col("root").alias("cluster")))
+    return durable(components(sketched(dealt, rows, least)).select("node", F.col("root").alias("cluster")))
 
 
 def rejoined(sig: DataFrame, node: DataFrame, rows: int) -> DataFrame:
@@ -380,7 +393,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     first = sig.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("_uid", "grams", "bands", "sketch")).alias("s"), F.count("*").alias("n"))
     reps = durable(first.select("digest", F.col("s._uid").alias("node"), "n", "s.grams", "s.bands", "s.sketch"))
 
-    group = candidate_groups(reps, least)
+    group = candidate_groups(reps, rows, least)
     chosen = reps.select("node", "n", "grams", "sketch").join(group, "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("grams") * 8 / BLOCK_BYTES)).cast("int")
     chosen = chosen.drop("grams").join(chosen.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")

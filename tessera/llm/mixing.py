@@ -35,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 #: Documents of one size that are ranked together.
-BUCKET_ROWS = 5_000
+BUCKET_ROWS = 1_000
 #: Newton steps that one plan takes before the driver asks whether all sources are done, and the plans after which it gives up.
 STEPS_A_ROUND, ROUNDS = 4, 50
 TOLERANCE = 1e-7
