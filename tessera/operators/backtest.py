@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import Panel, div
@@ -162,6 +162,45 @@ def select_contracts(chain: DataFrame, cfg: OptionsConfig = OptionsConfig()) ->
     return c.withColumn("_e", error).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").withColumnRenamed("_e", "selection_error")
 
 
+# The strategies, and the score that each trades on with its sign.
+STRATEGIES = ("delta_hedged", "tail_hedge", "volatility_carry", "skew_trading", "term_structure", "realized_vs_implied")
+
+
+def strategy_signal(strategy: str, columns: list[str], entry: float = 0.0, target_tenor: float = 30.0) -> Column:
+    """The side of each quote: buy all, buy puts, or the sign of a score from ``entry`` on; a score column of the chain goes before the made one."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy}")
+    if strategy == "delta_hedged":
+        return F.lit(1.0)
+    if strategy == "tail_hedge":
+        return F.when(F.col("option_type") == "put", 1.0).otherwise(0.0)
+    realized = F.col("realized_volatility") if "realized_volatility" in columns else F.lit(0.0)
+    made = {"volatility_carry": ("vol_carry_score", F.col("iv") - realized), "skew_trading": ("skew_score", 1.0 - F.col("moneyness") if "moneyness" in columns else F.lit(0.0)), "term_structure": ("term_structure_score", F.col("tenor") - target_tenor), "realized_vs_implied": ("realized_implied_spread", realized - F.col("iv"))}
+    given, own = made[strategy]
+    score = F.col(given) if given in columns else own
+    side = F.signum(F.when(F.abs(score) >= entry, score).otherwise(0.0))
+    return -side if strategy == "volatility_carry" else side
+
+
+def exercised(option_type: Column, spot: Column, strike: Column, tenor: Column, buffer: float = 2.0, threshold: float = 0.0, american: bool = True) -> Column:
+    """Whether a position is assigned or exercised early: close to its end and in the money."""
+    return (tenor <= buffer) & (pricing.intrinsic(option_type, spot, strike) > threshold) if american else F.lit(False)
+
+
+def timing_multiplier(timing: DataFrame, assets: list[str], factors: list[str] = ()) -> DataFrame:
+    """t, asset (null: all of them) and x: a weight for each asset if timing has all assets' columns, else one for all.
+
+    One for all is the mean of the columns that are factors, or else of all columns;
+    a missing weight is the last one, and 0 before the first.
+    """
+    names = [c for c in timing.columns if c != "t"]
+    held = timing.select("t", *[F.coalesce(F.last(c, ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias(c) for c in names])  # one row for each time
+    if set(assets) <= set(names):
+        return held.unpivot(["t"], list(assets), "asset", "x")
+    used = [c for c in names if c in set(factors)] or names
+    return held.select("t", F.lit(None).cast("string").alias("asset"), (sum((F.col(c) for c in used), F.lit(0.0)) / len(used)).alias("x"))
+
+
 def options_backtest(chain: DataFrame, prices: DataFrame, cfg: OptionsConfig = OptionsConfig()) -> tuple[DataFrame, DataFrame]:
     """prices: t (day), spot. Trades, and profit by day: marks of open positions, delta hedge and costs.
 

@@ -42,8 +42,8 @@ def walk_forward(df: DataFrame, features: list[str], make: Callable[[int], Itera
         out = pd.DataFrame({key: g[key][held], "split": g["split"][held], time: g[time][held], "role": g["role"][held]})
         if train.sum() <= 2 * config.states or not held.any():
             return out.iloc[:0].assign(state=pd.Series(dtype="int32"), probabilities=pd.Series(dtype=object))
-        p = hmm.fit(x[train], config)
-        f, _ = hmm.forward(hmm.emissions(x[ok], p, config.dof), p)
+        p, density = hmm.learned(x[train], config)
+        f, _ = hmm.forward(density(x[ok]), p)
         got = f[held[ok]]
         return out.assign(state=got.argmax(1).astype("int32"), probabilities=[r.tolist() for r in got])
 

@@ -102,3 +102,17 @@ def surface_principal_components(wide: DataFrame, points: list[str], n: int = 3,
 
     got = wide.withColumn("_w", F.collect_list(F.array(*[F.col(f"`{a}`").cast("double") for a in points])).over(w)).withColumn("_s", scores("_w"))
     return got.select(*([key] if key else []), time, *[F.get("_s", F.lit(k)).alias(f"surface_pc_{k + 1}") for k in range(n)])
+
+
+def option_factors(quotes: DataFrame, by: list[str], tenor: str = "tenor", delta: str = "delta", iv: str = "iv") -> DataFrame:
+    """Smile, skew, curvature and term structure of each group of quotes.
+
+    At the money is the quote whose delta is nearest to a half; wings lie at deltas
+    up to 0.25 or from 0.75; skew needs quotes at exactly -0.25 and 0.25, and is 0
+    without; of equally near quotes, and of equal deltas, the lowest volatility counts.
+    """
+    t, d, v = F.col(tenor), F.abs(F.col(delta)), F.col(iv)
+    at = lambda x: F.min(F.when(F.col(delta) == x, v))
+    g = quotes.groupBy(*by).agg(F.min(F.struct(F.abs(d - 0.5), v.alias("v")))["v"].alias("_atm"), F.avg(F.when((d <= 0.25) | (d >= 0.75), v)).alias("_wing"), at(-0.25).alias("_put"), at(0.25).alias("_call"), F.min(F.struct(t, v.alias("v")))["v"].alias("_front"), F.min(F.struct(-t, v.alias("v")))["v"].alias("_back"))
+    g = g.withColumn("smile", F.coalesce(F.col("_wing") - F.col("_atm"), F.lit(0.0))).withColumn("skew", F.coalesce(F.col("_put") - F.col("_call"), F.lit(0.0)))
+    return g.select(*by, "smile", "skew", (F.col("smile") - F.col("skew") / 2).alias("curvature"), (F.col("_back") - F.col("_front")).alias("term_structure"))

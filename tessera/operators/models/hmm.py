@@ -27,7 +27,12 @@ class Config:
     seed: int = 0
     lags: int = 0
     inputs: tuple[str, ...] = ()
+    #: Rows that a state lasts on average; each step sets the chance of staying by it.
     mean_duration: float | None = None
+    #: Starts from a Gaussian mixture and even moves, not from k-means.
+    mixture: bool = False
+    #: Each state regresses the first feature on the others, the lags and the inputs.
+    regression: bool = False
 
 
 @dataclass
@@ -111,17 +116,91 @@ def maximise(x: np.ndarray, g: np.ndarray, pair: np.ndarray, c: Config) -> Param
     w = g.sum(0) + 1e-12
     means = g.T @ x / w[:, None]
     covs = np.stack([(x - m).T @ ((x - m) * g[:, [j]]) / w[j] + c.ridge * np.eye(x.shape[1]) for j, m in enumerate(means)])
+    return Params(g[0] / g[0].sum(), _moves(pair, c), means, covs)
+
+
+def _moves(pair: np.ndarray, c: Config) -> np.ndarray:
     moves = pair + c.sticky * np.eye(len(pair)) + 1e-6
-    return Params(g[0] / g[0].sum(), moves / moves.sum(1, keepdims=True), means, covs)
+    moves = moves / moves.sum(1, keepdims=True)
+    if c.mean_duration is not None:
+        np.fill_diagonal(moves, np.clip(1 - 1 / c.mean_duration, 1e-12, 1 - 1e-12))
+        moves = moves / moves.sum(1, keepdims=True)
+    return moves
+
+
+def gaussian_mixture(x: np.ndarray, k: int, rng: np.random.Generator, ridge: float, steps: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances by expectation maximisation from k-means."""
+    g = np.eye(k)[kmeans(x, k, rng)[0]]
+    last = -np.inf
+    for _ in range(steps):
+        w = g.sum(0) + 1e-12
+        means = g.T @ x / w[:, None]
+        covs = np.stack([(x - m).T @ ((x - m) * g[:, [j]]) / w[j] + ridge * np.eye(x.shape[1]) for j, m in enumerate(means)])
+        p = Params(w / w.sum(), np.eye(k), means, covs)
+        joint = emissions(x, p) + np.log(p.start)
+        top = joint.max(1, keepdims=True)
+        whole = top + np.log(np.exp(joint - top).sum(1, keepdims=True))
+        g = np.exp(joint - whole)
+        if abs(whole.mean() - last) < tolerance:
+            break
+        last = whole.mean()
+    return p.start, means, covs
+
+
+def first_params(x: np.ndarray, c: Config, seed: int) -> Params:
+    rng = np.random.default_rng(seed)
+    if c.mixture:
+        w, means, covs = gaussian_mixture(x, c.states, rng, c.ridge)
+        return Params((w + 1e-12) / (w + 1e-12).sum(), np.full((c.states, c.states), 1 / c.states), means, covs)
+    lab, _ = kmeans(x, c.states, rng)
+    g = np.eye(c.states)[lab] * 0.9 + 0.1 / c.states
+    return maximise(x, g, g[:-1].T @ g[1:], c)
+
+
+@dataclass
+class Regressions:
+    """Each state's coefficients (constant first) and variance, beside the chain."""
+
+    start: np.ndarray
+    moves: np.ndarray
+    coefficients: np.ndarray
+    variances: np.ndarray
+    loglik: float = -np.inf
+
+
+def regression_emissions(y: np.ndarray, design_: np.ndarray, p: Regressions) -> np.ndarray:
+    e = y[:, None] - design_ @ p.coefficients.T
+    return -0.5 * (e * e / p.variances + np.log(2 * math.pi * p.variances))
+
+
+def fit_regressions(y: np.ndarray, x: np.ndarray, c: Config) -> Regressions:
+    """A switching regression of y on a constant and x (which may have no column), by expectation maximisation; states by their constant."""
+    d, best = np.column_stack([np.ones(len(y)), x]), None
+    for r in range(c.restarts):
+        lab, _ = kmeans(np.column_stack([y, x]), c.states, np.random.default_rng(c.seed + r))
+        g = np.eye(c.states)[lab] * 0.9 + 0.1 / c.states
+        pair, last = g[:-1].T @ g[1:], -np.inf
+        for _ in range(c.iterations):
+            w = g.sum(0) + 1e-12
+            gram = np.einsum("tk,ti,tj->kij", g, d, d) + 1e-9 * np.eye(d.shape[1])
+            coef = np.linalg.solve(gram, np.einsum("tk,ti,t->ki", g, d, y)[:, :, None])[:, :, 0]
+            var = (g * (y[:, None] - d @ coef.T) ** 2).sum(0) / w + c.ridge * y.var()
+            p = Regressions(g[0] / g[0].sum(), _moves(pair, c), coef, var)
+            _, g, pair, p.loglik = smooth(regression_emissions(y, d, p), p)
+            if abs(p.loglik - last) < c.tolerance * (1 + abs(p.loglik)):
+                break
+            last = p.loglik
+        if best is None or p.loglik > best.loglik:
+            best = p
+    o = np.argsort(best.coefficients[:, 0], kind="stable")
+    return Regressions(best.start[o], best.moves[np.ix_(o, o)], best.coefficients[o], best.variances[o], best.loglik)
 
 
 def fit(x: np.ndarray, c: Config = Config()) -> Params:
     """The best of several starts; states in the order of their first mean."""
     best = None
     for r in range(c.restarts):
-        lab, means = kmeans(x, c.states, np.random.default_rng(c.seed + r))
-        g = np.eye(c.states)[lab] * 0.9 + 0.1 / c.states
-        p = maximise(x, g, g[:-1].T @ g[1:], c)
+        p = first_params(x, c, c.seed + r)
         last = -np.inf
         for _ in range(c.iterations):
             _, g, pair, ll = smooth(emissions(x, p, c.dof), p)
@@ -132,15 +211,26 @@ def fit(x: np.ndarray, c: Config = Config()) -> Params:
             last = ll
         if best is None or p.loglik > best.loglik:
             best = p
-    if c.mean_duration is not None:
-        stay = 1 - 1 / max(c.mean_duration, 1.0001)
-        off = best.moves * (1 - np.eye(c.states))
-        off = off / np.maximum(off.sum(1, keepdims=True), 1e-12) if c.states > 1 else off
-        best.moves = stay * np.eye(c.states) + (1 - stay) * off if c.states > 1 else np.ones((1, 1))
     o = np.argsort(best.means[:, 0], kind="stable")
     return Params(best.start[o], best.moves[np.ix_(o, o)], best.means[o], best.covs[o], best.loglik)
 
 
+def learned(x: np.ndarray, c: Config):
+    """The fitted chain, and the log densities of rows under it."""
+    if c.regression:
+        r = fit_regressions(x[:, 0], x[:, 1:], c)
+        return r, lambda z: regression_emissions(z[:, 0], np.column_stack([np.ones(len(z)), z[:, 1:]]), r)
+    p = fit(x, c)
+    return p, lambda z: emissions(z, p, c.dof)
+
+
+def duration_pmf(p: Params, longest: int = 100) -> np.ndarray:
+    """Each state's chances of lasting 1, 2, ... rows: geometric, cut at the longest."""
+    stay = 1 - 1 / np.maximum(expected_durations(p), 1.0)[:, None]
+    mass = (1 - stay) * stay ** np.arange(longest)
+    return mass / mass.sum(1, keepdims=True)
+
+
 def expected_durations(p: Params) -> np.ndarray:
     return 1 / np.maximum(1 - np.diag(p.moves), 1e-12)
 
@@ -175,8 +265,8 @@ def run_series(df: DataFrame, features: list[str], c: Config = Config(), key: st
         x, ok = design(g, features, c)
         prob = np.full((len(g), c.states), np.nan)
         if ok.sum() > c.states * 2:
-            p = fit(x[ok], c)
-            f, s, _, _ = smooth(emissions(x[ok], p, c.dof), p)
+            p, density = learned(x[ok], c)
+            f, s, _, _ = smooth(density(x[ok]), p)
             prob[ok] = s if smoothed else f
         state = pd.array(np.where(ok & ~np.isnan(prob[:, 0]), np.nan_to_num(prob).argmax(1), -1), "Int64")
         return pd.DataFrame({key: g[key].to_numpy(), time: g[time].to_numpy(), "state": [None if v < 0 else int(v) for v in state], "probabilities": [None if np.isnan(r[0]) else r.tolist() for r in prob]}).astype({"state": "Int32"})
@@ -186,8 +276,8 @@ def run_series(df: DataFrame, features: list[str], c: Config = Config(), key: st
 
 # What differs between the family's members.
 VARIANTS: dict[str, Config] = {
-    "gaussian-hmm": Config(), "sticky-hmm": Config(sticky=10.0), "student-t-hmm": Config(dof=5.0), "ar-hmm": Config(lags=1), "input-output-hmm": Config(), "gmm-hmm": Config(restarts=5),
-    "hsmm": Config(mean_duration=10.0), "explicit-duration-latent-state": Config(mean_duration=10.0), "markov-switching-var": Config(lags=1), "markov-switching-ar": Config(lags=1), "markov-switching-regression": Config(),
+    "gaussian-hmm": Config(), "sticky-hmm": Config(sticky=10.0), "student-t-hmm": Config(dof=5.0), "ar-hmm": Config(lags=1), "input-output-hmm": Config(), "gmm-hmm": Config(mixture=True),
+    "hsmm": Config(mean_duration=10.0), "explicit-duration-latent-state": Config(mean_duration=10.0), "markov-switching-var": Config(lags=1), "markov-switching-ar": Config(lags=1, regression=True), "markov-switching-regression": Config(regression=True),
 }
 
 

@@ -10,10 +10,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import ASSET, Panel
+from tessera.functions.exprs import ASSET, Panel, div
 from tessera.operators.models import hmm
 
 
@@ -105,33 +105,43 @@ def jump_segmentation(x: np.ndarray, k: int = 2, penalty: float | np.ndarray = 5
 
 
 def kalman_switching(y: np.ndarray, models: list[dict], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interacting multiple models: mode probabilities and the mixed state's mean. models: A, b, Q, C, R."""
+    """Interacting multiple models: mode probabilities and the mixed state's mean. models: A, b, Q, C, R; moves: one matrix, or one for each row.
+
+    All modes are carried side by side; a row mixes, moves and corrects them in one go.
+    """
     k, d = len(models), models[0]["A"].shape[0]
-    mean, cov, mode = np.zeros((k, d)), np.stack([np.eye(d)] * k), np.full(k, 1 / k)
-    probs, states = [], []
-    for row in y:
-        mix = moves * mode[:, None]
-        pred = mix.sum(0)
-        w = mix / np.maximum(pred, 1e-300)
-        mm = w.T @ mean
-        mc = np.stack([sum(w[i, j] * (cov[i] + np.outer(mean[i] - mm[j], mean[i] - mm[j])) for i in range(k)) for j in range(k)])
-        like = np.empty(k)
-        for j, m in enumerate(models):
-            x, p = m["A"] @ mm[j] + m.get("b", 0.0), m["A"] @ mc[j] @ m["A"].T + m["Q"]
-            s = m["C"] @ p @ m["C"].T + m["R"] + 1e-9 * np.eye(len(row))
-            e = row - m["C"] @ x
-            gain = np.linalg.solve(s, m["C"] @ p).T
-            mean[j], cov[j] = x + gain @ e, p - gain @ m["C"] @ p
-            like[j] = -0.5 * (e @ np.linalg.solve(s, e) + np.linalg.slogdet(2 * math.pi * s)[1])
-        mode = pred * np.exp(like - like.max())
-        mode /= mode.sum()
-        probs.append(mode)
-        states.append(mode @ mean)
-    return np.array(probs), np.array(states)
-
-
-def switching_lds(x: np.ndarray, k: int = 2, seed: int = 0, factors: int | None = None) -> np.ndarray:
-    """Clusters give each mode's dynamics and noise; the filter gives the modes' probabilities."""
+    a, q, c, r = (np.stack([np.asarray(m[n], float) for m in models]) for n in ("A", "Q", "C", "R"))
+    drift = np.stack([np.broadcast_to(m.get("b", 0.0), d) for m in models])
+    eye = 1e-9 * np.eye(y.shape[1])
+    moves = np.broadcast_to(moves, (len(y), k, k))
+    centre, spread, weight = np.zeros((k, d)), np.broadcast_to(np.eye(d), (k, d, d)), np.full(k, 1 / k)
+    probs, found = np.empty((len(y), k)), np.empty((len(y), d))
+    for t, row in enumerate(y):
+        joint = weight[:, None] * moves[t]
+        ahead = joint.sum(0)
+        share = joint / np.maximum(ahead, 1e-300)
+        mixed = share.T @ centre
+        off = centre[:, None] - mixed[None]
+        around = np.einsum("ij,iab->jab", share, spread) + np.einsum("ij,ija,ijb->jab", share, off, off)
+        centre = np.einsum("jab,jb->ja", a, mixed) + drift
+        spread = a @ around @ a.transpose(0, 2, 1) + q
+        miss = row - np.einsum("jab,jb->ja", c, centre)
+        s = c @ spread @ c.transpose(0, 2, 1) + r + eye
+        gain = np.linalg.solve(s, c @ spread).transpose(0, 2, 1)
+        centre = centre + np.einsum("jab,jb->ja", gain, miss)
+        spread = spread - gain @ c @ spread
+        score = -0.5 * (np.einsum("ja,ja->j", miss, np.linalg.solve(s, miss[:, :, None])[:, :, 0]) + np.linalg.slogdet(2 * math.pi * s)[1])
+        weight = ahead * np.exp(score - score.max())
+        weight = weight / weight.sum()
+        probs[t], found[t] = weight, weight @ centre
+    return probs, found
+
+
+def switching_lds(x: np.ndarray, k: int = 2, seed: int = 0, factors: int | None = None, recurrent: np.ndarray | None = None) -> np.ndarray:
+    """Clusters give each mode's dynamics and noise; the filter gives the modes' probabilities.
+
+    ``recurrent``: weights (modes, columns) by which a row tilts the moves to it.
+    """
     y = x
     if factors:
         _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
@@ -152,7 +162,8 @@ def switching_lds(x: np.ndarray, k: int = 2, seed: int = 0, factors: int | None
             a, b, e = 0.5 * np.eye(d), np.zeros(d), y - y.mean(0)
         q = np.atleast_2d(np.cov(e, rowvar=False)) + 1e-4 * np.eye(d) if len(e) > 1 else np.eye(d)
         models.append({"A": a, "b": b, "Q": q, "C": np.eye(d), "R": 0.1 * np.diag(np.diag(q)) + 1e-6 * np.eye(d)})
-    return kalman_switching(y, models, moves / moves.sum(1, keepdims=True))[0]
+    moves = moves / moves.sum(1, keepdims=True)
+    return kalman_switching(y, models, moves if recurrent is None else recurrent_moves(moves, y, recurrent))[0]
 
 
 def threshold_autoregression(y: np.ndarray, k: int = 2, order: int = 1, ridge: float = 1e-3) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -171,8 +182,115 @@ def threshold_autoregression(y: np.ndarray, k: int = 2, order: int = 1, ridge: f
     return state, coef
 
 
-def smooth_transition(x: Column, centre: float, slope: float = 5.0) -> Column:
-    return 1 / (1 + F.exp(-slope * (x - centre)))
+def smooth_transition(df: DataFrame, value: str, slope: float = 5.0, p: Panel = ASSET) -> DataFrame:
+    """Weights of the second of two regimes: a logistic of the first lag about its median in the entity; missing without a lag."""
+    lagged = df.withColumn("_lag", p.lag(value))
+    centre = lagged.groupBy(p.key).agg(F.percentile("_lag", F.lit(0.5)).alias("_c"))
+    return lagged.join(centre, p.key).withColumn("weight", 1 / (1 + F.exp(-slope * (F.col("_lag") - F.col("_c"))))).drop("_lag", "_c")
+
+
+def hazard(df: DataFrame, features: list[str], state: str = "state", horizon: int = 1, p: Panel = ASSET) -> DataFrame:
+    """The probability of a change within the horizon, by a logistic model of the features; a sample without a change has none."""
+    from tessera.operators.states import transition_events
+
+    events = transition_events(df, state, horizon, p).withColumn("event", F.col("event").cast("double"))
+    if events.select("event").distinct().count() < 2:
+        return events.withColumn("hazard", F.lit(0.0))
+    scored = classify(supervised(events, features, "event"), events, features)
+    return scored.withColumn("hazard", F.col("probabilities")[1]).drop("probabilities", "prediction")
+
+
+def calibration(df: DataFrame, label: str = "y", probability: str = "p", bins: int = 10) -> DataFrame:
+    """Bins of equal width: rows, share of positives and mean probability, beside the whole's Brier score and log loss."""
+    y, q = F.col(label).cast("double"), F.col(probability)
+    d = df.filter(y.isNotNull() & q.isNotNull()).withColumns({"_b": F.least(F.floor(q * bins), F.lit(bins - 1)).cast("int"), "_brier": (y - q) * (y - q), "_loss": -F.ln(F.least(F.greatest(F.when(y == 1, q).otherwise(1 - q), F.lit(1e-15)), F.lit(1.0)))})
+    whole = d.agg(F.avg("_brier").alias("brier"), F.avg("_loss").alias("log_loss"))
+    return d.groupBy(F.col("_b").alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("fraction_of_positives"), F.avg(q).alias("mean_predicted_probability")).crossJoin(F.broadcast(whole))  # one row
+
+
+def correlation_level(df: DataFrame, features: list[str], window: int = 21, ranks: bool = False, p: Panel = ASSET) -> DataFrame:
+    """level: the mean absolute correlation of all pairs of features over the trailing rows; 0 for a single row, and a pair without variance counts 0.
+
+    With ``ranks`` the features are replaced by their ranks in the entity first.
+    """
+    d, names = df, features
+    if ranks:
+        names = [f"_rank_{f}" for f in features]
+        for f, n in zip(features, names, strict=True):
+            d = d.withColumn(n, F.percent_rank().over(Window.partitionBy(p.key).orderBy(f)))
+    w = p.order.rowsBetween(1 - window, 0)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    r = [F.coalesce(F.when(F.count(F.lit(1)).over(w) > 1, F.abs(div(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))), F.lit(0.0)) for a, b in pairs]
+    total = r[0]
+    for x in r[1:]:
+        total = total + x
+    return d.withColumn("level", total / len(pairs)).drop(*(names if ranks else []))
+
+
+def switching_correlation(df: DataFrame, features: list[str], k: int = 2, window: int = 21, ranks: bool = False, p: Panel = ASSET) -> DataFrame:
+    """States by quantiles of the entity's correlation level; with ``ranks`` the copula's stand-in."""
+    d = correlation_level(df, features, window, ranks, p)
+    cuts = d.groupBy(p.key).agg(F.percentile("level", F.array(*[F.lit(j / k) for j in range(1, k)])).alias("_q"))
+    return d.join(cuts, p.key).withColumn("state", F.size(F.filter("_q", lambda c: F.col("level") >= c))).drop("_q")
+
+
+def run_length_durations(df: DataFrame, state: str = "state", longest: int = 100, epsilon: float = 1e-12, p: Panel = ASSET) -> DataFrame:
+    """Explicit durations of each state: the share of its runs of each length (longer ones count as the longest), and their mean."""
+    from tessera.operators import states
+
+    n = states.runs(df.filter(F.col(state).isNotNull()), state, p).groupBy(p.key, state, F.least("length", F.lit(longest)).alias("duration")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(p.key, state)
+    n = n.withColumn("probability", (F.col("n") + epsilon) / (F.sum("n").over(whole) + longest * epsilon))
+    return n.withColumn("expected_duration", F.sum(F.col("duration") * F.col("n")).over(whole) / F.sum("n").over(whole))
+
+
+def graphical_lasso(cov: np.ndarray, penalty: float = 0.01, steps: int = 100, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance and sparse precision, a column's lasso at a time."""
+    w, d = cov + penalty * np.eye(len(cov)), len(cov)
+    betas = np.zeros((d, d))
+    for _ in range(steps):
+        before = w.copy()
+        for j in range(d):
+            o = np.arange(d) != j
+            v, s, b = w[np.ix_(o, o)], cov[o, j], betas[o, j]
+            for _ in range(steps):
+                last = b.copy()
+                for i in range(d - 1):
+                    rest = s[i] - v[i] @ b + v[i, i] * b[i]
+                    b[i] = np.sign(rest) * max(abs(rest) - penalty, 0) / v[i, i]
+                if np.abs(b - last).max(initial=0) < tolerance:
+                    break
+            betas[o, j] = b
+            w[o, j] = w[j, o] = v @ b
+        if np.abs(w - before).max() < tolerance * np.abs(cov).max():
+            break
+    precision = np.zeros((d, d))
+    for j in range(d):
+        o = np.arange(d) != j
+        precision[j, j] = 1 / max(w[j, j] - w[o, j] @ betas[o, j], 1e-12)
+        precision[o, j] = -betas[o, j] * precision[j, j]
+    return w, (precision + precision.T) / 2
+
+
+def ticc(x: np.ndarray, k: int = 2, window: int = 5, penalty: float = 5.0, lasso: float = 0.01, seed: int = 0) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Windows of rows, side by side, in segments with a price on each change; and a sparse precision for each state.
+
+    The first rows, which end no whole window, take the first window's state.
+    """
+    if len(x) < window:
+        raise ValueError("fewer rows than the window")
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
+    side = np.lib.stride_tricks.sliding_window_view(z, window, axis=0).transpose(0, 2, 1).reshape(len(z) - window + 1, -1)
+    lab = jump_segmentation(side, k, penalty, seed=seed)
+    lab = np.concatenate([np.full(window - 1, lab[0]), lab])
+    return lab, {int(j): graphical_lasso(np.atleast_2d(np.cov(z[lab == j], rowvar=False)), lasso)[1] for j in np.unique(lab) if (lab == j).sum() > z.shape[1]}
+
+
+def recurrent_moves(moves: np.ndarray, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's matrix of moves, its target states tilted by the row's features; weights (states, features)."""
+    z = x @ weights.T
+    tilted = moves[None] * np.exp(z - z.max(1, keepdims=True))[:, None, :]
+    return tilted / tilted.sum(2, keepdims=True)
 
 
 def switching_volatility(df: DataFrame, ret: str = "ret", k: int = 2, p: Panel = ASSET) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,33 @@ DEFAULTS = {
 }
 
 
+def default_rule(name: str, feature: str | None = None, value: float | None = None) -> StaticRule:
+    """The rule of one risk (volatility, correlation, liquidity, breadth, trend, credit, skew or term_structure), its feature or threshold replaced if given."""
+    t = DEFAULTS[name]
+    return StaticRule((Threshold(feature or t.feature, t.value if value is None else value, t.above, t.weight),))
+
+
+class RuleModel:
+    """A rule as a model: nothing to fit, a state for every row (missing where no feature votes), and saved as JSON."""
+
+    def __init__(self, rule: StaticRule):
+        self.rule = rule
+
+    def fit(self, df: DataFrame) -> RuleModel:
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.rule.predict(df)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self.rule), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> RuleModel:
+        held = json.loads(text)
+        return cls(StaticRule(**held | {"thresholds": tuple(Threshold(**t) for t in held["thresholds"])}))
+
+
 def calibrate(score: Column, method: str = "none") -> Column:
     if method == "clip":
         return F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import changepoint_queries, evaluation_queries, feature_queries, metric_queries, model_queries
+from tessera.plans import changepoint_queries, evaluation_queries, feature_queries, metric_queries, model_queries, research_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [feature_queries, metric_queries, model_queries, changepoint_queries, evaluation_queries]
+PARTS = [feature_queries, metric_queries, model_queries, changepoint_queries, research_queries, evaluation_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

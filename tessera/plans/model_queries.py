@@ -133,7 +133,7 @@ def _series(label, features=("close", "volume")):
 def _hmm(name, **changes):
     def query(s, d):
         b = _small(s, d)
-        inputs = ("users",) if name == "input-output-hmm" else ()
+        inputs = ("users",) if name in ("input-output-hmm", "markov-switching-regression") else ()
         return hmm.run_series(b, ["ret"], hmm.variant(name, inputs=inputs, **changes))
 
     return query
@@ -166,7 +166,6 @@ def queries() -> dict:
         "model_switching_lds": _series(lambda x: other.switching_lds(x).argmax(1)),
         "model_switching_dynamic_factor": _series(lambda x: other.switching_lds(x, factors=1).argmax(1)),
         "model_threshold_autoregression": _series(lambda x: other.threshold_autoregression(x[:, 0])[0]),
-        "model_smooth_transition": lambda s, d: I.rounded(_small(s, d).select(*K, other.smooth_transition(F.col("ret"), 0.0, 50.0).alias("weight")), K),
         "model_switching_volatility": lambda s, d: other.switching_volatility(_small(s, d)).select(*K, "state"),
         "model_supervised_logistic": _supervised("logistic"), "model_supervised_forest": _supervised("random_forest"), "model_supervised_boosting": _supervised("gradient_boosting"),
         "source_mock_chain": _ingested,
@@ -203,7 +202,6 @@ def oracle_sql() -> dict[str, str]:
         "backtest_performance_by": f"WITH {SELECTED}, u AS ({stacked}) SELECT \"grouping\", bucket, count(*) AS contracts, {r6(5, pnl='sum(pnl)', mean_pnl='avg(pnl)')} FROM u WHERE bucket IS NOT NULL GROUP BY 1, 2",
         "backtest_rolling_betas": f"WITH {I.MARKET} SELECT asset, t, {r6(beta=f'coalesce(CASE WHEN count({both}) OVER {bw} >= 3 THEN covar_samp(ret, market) OVER {bw} / nullif(var_samp(CASE WHEN TRUE THEN market END) OVER {bw}, 0) END, 0)')} FROM mkt",
         "backtest_factor_exposures": f"WITH {I.MARKET}, b AS (SELECT asset, coalesce(covar_samp(ret, market) / nullif(var_samp(market), 0), 0) AS beta FROM mkt GROUP BY asset) SELECT t, 'm' AS factor, {r6(exposure='sum(1.0::DOUBLE / length(asset) * beta)')} FROM rets JOIN b USING (asset) GROUP BY t",
-        "model_smooth_transition": f"WITH {SMALL} SELECT asset, t, {r6(weight='1 / (1 + exp(-50.0::DOUBLE * ret))')} FROM sm",
         "model_switching_volatility": f"WITH {SMALL}, x AS (SELECT asset, t, CASE WHEN ret IS NOT NULL THEN ln(ret * ret + 1e-12) END AS x FROM sm), c AS (SELECT asset, quantile_cont(x, 0.5) AS q FROM x GROUP BY asset) SELECT asset, t, CASE WHEN x IS NOT NULL THEN CAST(x >= q AS INT) END AS state FROM x JOIN c USING (asset)",
         "source_mock_chain": f"WITH {I.BARS}, l AS (SELECT 'put' AS option_type, 0.95::DOUBLE AS m UNION ALL SELECT 'call', 1.05::DOUBLE) SELECT asset AS symbol, t AS \"hour\", option_type, {r6(strike=chr(34) + 'close' + chr(34) + ' * m', close=chr(34) + 'close' + chr(34))} FROM bars, l",
     }
