@@ -216,31 +216,56 @@ class Report:
         return Path(path)
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("query", "sql"):
+
+    def command(name: str, *positional: str, **options):
         s = sub.add_parser(name)
-        s.add_argument("what")
-        s.add_argument("--data", default="/root/testdata/sf0.01")
-        s.add_argument("--output")
-    s = sub.add_parser("synthetic")
-    s.add_argument("scenario")
-    s.add_argument("--output", required=True)
-    sub.add_parser("models")
-    s = sub.add_parser("compare")
-    s.add_argument("group")
-    s.add_argument("--metric", default="loss")
-    s.add_argument("--root", default="experiments")
-    a = p.parse_args(argv)
-    from tessera.operators.models.hmm import VARIANTS
+        for x in positional:
+            s.add_argument(x)
+        for o, default in options.items():
+            s.add_argument(f"--{o}", **({"required": True} if default is ... else {"default": default}))
+
+    command("query", "what", data="/root/testdata/sf0.01", output=None)
+    command("sql", "what", data="/root/testdata/sf0.01", output=None)
+    command("synthetic", "scenario", output=...)
+    command("models", family=None)
+    command("describe", "model")
+    command("compare", "group", metric="loss", root="experiments")
+    command("ingest", "document", output=...)
+    command("build", "query", data="/root/testdata/sf0.01", output=...)
+    command("train", "model", data=..., features="ret", parameters="{}", output=...)
+    command("evaluate", "model", data=..., features="ret", parameters="{}", output=...)
+    command("tune", "document", data=..., features="ret", output=None)
+    command("plan", "document")
+    command("run", "document", root="experiments")
+    command("report", "run", root="experiments")
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = _parser().parse_args(argv)
+    from tessera import workflow
+    from tessera.operators.models import registry
 
     if a.command == "models":
-        print("\n".join(sorted(VARIANTS)))
+        print("\n".join(registry.available(a.family)))
+        return 0
+    if a.command == "describe":
+        print(json.dumps(registry.describe(a.model), default=str))
         return 0
     if a.command == "compare":
         print(json.dumps(Registry(a.root).compare(a.group, a.metric)))
         return 0
+    if a.command == "plan":
+        wrong = workflow.dry_run(a.document)
+        print("\n".join(wrong or [f"{s.name} after {', '.join(s.after) or 'nothing'}" for s in workflow.plan(a.document).stages]))
+        return 1 if wrong else 0
+    if a.command == "report":
+        r = Registry(a.root)
+        print("\n".join(path for _, path in r.artifacts(a.run)) + f"\n{Path(a.root) / a.run / 'report.html'}\n" + json.dumps(r.results(a.run)))
+        return 0
     from tessera.session import local_session
 
     spark = local_session()
@@ -249,10 +274,33 @@ def main(argv: list[str] | None = None) -> int:
 
         generate(spark, a.scenario).write.mode("overwrite").parquet(a.output)
         return 0
+    if a.command == "ingest":
+        from tessera.sources import providers
+
+        for domain, df in providers.ingest(spark, providers.load_mapping(a.document)).items():
+            df.write.mode("overwrite").parquet(f"{a.output}/{domain}")
+        return 0
+    if a.command == "run":
+        done = workflow.run(spark, a.document, a.root)
+        print(json.dumps({"run": done["run"], "comparison": done["comparison"], "report": done["report"]}))
+        return 0
+    if a.command in ("train", "evaluate"):
+        from tessera.operators import runner
+
+        df, features, given = spark.read.parquet(a.data), a.features.split(","), json.loads(a.parameters)
+        if a.command == "train":
+            registry.create(a.model, given).run(df, features).write.mode("overwrite").parquet(a.output)
+        else:
+            print(json.dumps(runner.evaluate(df, runner.Evaluation(a.model, given, tuple(features)), a.output).summary))
+        return 0
+    if a.command == "tune":
+        found = workflow.tune(spark, workflow.Tuning.from_yaml(a.document), spark.read.parquet(a.data), a.features.split(","))
+        workflow.save_document(a.output, found) if a.output else print(json.dumps(found, default=str))
+        return 0
     from tessera.plans import catalog
 
-    if a.command == "query":
-        df = catalog.queries()[a.what](spark, a.data)
+    if a.command in ("query", "build"):
+        df = catalog.queries()[a.what if a.command == "query" else a.query](spark, a.data)
     else:
         for f in Path(a.data).glob("*.parquet"):
             spark.read.parquet(str(f)).createOrReplaceTempView(f.stem)
