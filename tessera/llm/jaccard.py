@@ -342,12 +342,13 @@ def blocked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def marked(t: DataFrame, nodes: DataFrame, bits: int = BITS, most: int = MOST_MARKED) -> DataFrame:
-    """The rows of ``t`` (_uid) that may be among ``nodes`` (node), by a bitmap of ``bits`` bits; all rows where the nodes are many.
+    """The rows of ``t`` (_uid) that may be among ``nodes`` (node), by a bitmap of 32 bits a node; all rows where the nodes are many.
 
-    The bitmap is at most bits / 8 bytes, whatever the input.
+    The bitmap has at most ``bits`` bits, whatever the input.
     """
-    if nodes.count() > most:
+    if (count := nodes.count()) > most:
         return t
+    bits = min(bits, 1 << max(15, (32 * count).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     maps = nodes.select(at("node").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map"))
     place = F.bitmap_bit_position(at("_uid"))
