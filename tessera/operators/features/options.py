@@ -82,26 +82,43 @@ def delta_hedged_return(df: DataFrame, option_return: str = "option_return", und
 
 
 def surface_principal_components(wide: DataFrame, points: list[str], n: int = 3, time: str = "t", key: str | None = None) -> DataFrame:
-    """Scores of the latest row on the expanding window's components; a component's largest loading is positive."""
+    """Scores of the latest row on the expanding window's components; a component's largest loading is positive.
+
+    Rows with a gap take no part.  The window keeps sums of the points and of their
+    products, taken from the first whole row, so what a row carries does not grow.
+    """
     w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    k = len(points)
+    cols = [F.col(f"`{a}`").cast("double") for a in points]
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & c.isNotNull() & ~F.isnan(c)
+    d = wide.select(*([key] if key else []), time, F.when(whole, F.array(*cols)).alias("_x"))
+    d = d.withColumn("_o", F.first("_x", ignorenulls=True).over(w)).withColumn("_d", F.zip_with("_x", "_o", lambda x, o: x - o))
+    at = lambda i: F.col("_d")[i]
+    sums = [F.sum(at(i)).over(w) for i in range(k)]
+    products = [F.sum(at(i) * at(j)).over(w) for i in range(k) for j in range(i, k)]
+    d = d.select(*([key] if key else []), time, F.count("_x").over(w).alias("_n"), F.array(*sums).alias("_s"), F.array(*products).alias("_q"), F.last("_d", ignorenulls=True).over(w).alias("_last"))
 
     @F.pandas_udf("array<double>")
-    def scores(rows: pd.Series) -> pd.Series:
-        def one(r):
-            x = np.array([[np.nan if v is None else v for v in row] for row in r], float)
-            x = x[~np.isnan(x).any(1)]
-            if len(x) < 2:
-                return [None] * n
-            c = x - x.mean(0)
-            _, _, vt = np.linalg.svd(c, full_matrices=False)
-            vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None]
-            s = (vt @ c[-1])[:n].tolist()
-            return s + [None] * (n - len(s))
+    def scores(rows: pd.Series, sums: pd.Series, products: pd.Series, last: pd.Series) -> pd.Series:
+        upper = np.triu_indices(k)
 
-        return rows.map(one)
-
-    got = wide.withColumn("_w", F.collect_list(F.array(*[F.col(f"`{a}`").cast("double") for a in points])).over(w)).withColumn("_s", scores("_w"))
-    return got.select(*([key] if key else []), time, *[F.get("_s", F.lit(k)).alias(f"surface_pc_{k + 1}") for k in range(n)])
+        def one(m, s, q, x):
+            if m < 2:
+                return [None] * n
+            s, scatter = np.asarray(s, float), np.zeros((k, k))
+            scatter[upper] = np.asarray(q, float)
+            scatter = scatter + np.triu(scatter, 1).T - np.outer(s, s) / m
+            v = np.linalg.eigh(scatter)[1].T[::-1]
+            v = v * np.sign(v[np.arange(k), np.abs(v).argmax(1)])[:, None]
+            got = (v @ (np.asarray(x, float) - s / m))[: min(n, int(m), k)].tolist()
+            return got + [None] * (n - len(got))
+
+        return pd.Series([one(*r) for r in zip(rows, sums, products, last, strict=True)])
+
+    got = d.withColumn("_p", scores("_n", "_s", "_q", "_last"))
+    return got.select(*([key] if key else []), time, *[F.get("_p", F.lit(j)).alias(f"surface_pc_{j + 1}") for j in range(n)])
 
 
 def option_factors(quotes: DataFrame, by: list[str], tenor: str = "tenor", delta: str = "delta", iv: str = "iv") -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import durable
 from tessera.functions.exprs import ASSET, Panel, div
 from tessera.operators.models import hmm
 
@@ -28,7 +29,7 @@ def kmeans_regimes(df: DataFrame, features: list[str], k: int = 2, seeds: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
-    v = _vector(df, features)
+    v = durable(_vector(df, features))  # read by the scaler, every start and the labels
     v = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(v).transform(v)
     models = [KMeans(k=k, seed=seed + i, featuresCol="_z", predictionCol="_k").fit(v) for i in range(seeds)]
     best = min(models, key=lambda m: m.summary.trainingCost)
