@@ -42,6 +42,11 @@ def _walk(s, d):
     return evaluation.walk_forward(r, ["ret"], make).select("asset", "split", "t", "role", "state")
 
 
+def _standardised(s, d):
+    got = evaluation.preprocess(_small(s, d).dropna(subset=["ret"]), ["ret", "volume", "high"], F.col("t") < 473352 + 360)
+    return I.rounded(got.select(*K, *[F.col("features")[i].alias(n) for i, n in enumerate(("ret", "volume", "high"))]), K)
+
+
 def queries() -> dict:
     return {
         "sql_adhoc": _adhoc,
@@ -53,7 +58,8 @@ def queries() -> dict:
         "eval_ranking_loss": _ranking,
         "eval_paired_task": _paired,
         "eval_walk_forward": _walk,
-        "eval_preprocess": lambda s, d: evaluation.preprocess(_small(s, d).dropna(subset=["ret"]), ["ret", "volume", "high"], F.col("t") < 473352 + 360, 2).select(*K, F.size("features").alias("n")),
+        "eval_preprocess": _standardised,
+        "eval_preprocess_components": lambda s, d: evaluation.preprocess(_small(s, d).dropna(subset=["ret"]), ["ret", "volume", "high"], F.col("t") < 473352 + 360, 2).select(*K, F.size("features").alias("n")),
     }
 
 
@@ -61,7 +67,9 @@ def oracle_sql() -> dict[str, str]:
     models = "md AS (SELECT s_name AS model, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS loss, CAST(s_nationkey AS DOUBLE) AS score FROM supplier)"
     trend = "(PARTITION BY asset ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
     rank = lambda c: f"rank() OVER (PARTITION BY t ORDER BY {c}) + (count(*) OVER (PARTITION BY t, {c}) - 1) / 2.0::DOUBLE"
+    z = lambda c: f"({c} - avg({c}) FILTER (t < {473352 + 360}) OVER ()) / stddev_samp({c}) FILTER (t < {473352 + 360}) OVER ()"
     return {
+        "eval_preprocess": f"WITH {I.RETURNS}, x AS (SELECT asset, t, volume, high, least(greatest(ret, -0.5), 0.5) / 10 AS ret FROM rets WHERE ret IS NOT NULL) SELECT asset, t, {r6(ret=z('ret'), volume=z('volume'), high=z('high'))} FROM x",
         "sql_adhoc": ADHOC,
         "sets_union_by_name": "SELECT nation, \"of\", count(*) AS n FROM (SELECT c_nationkey AS nation, 'c' AS \"of\" FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier) GROUP BY 1, 2",
         "sets_difference": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem",

@@ -119,6 +119,7 @@ def queries() -> dict:
         "cross_correlation_distribution": at(cross_sectional.correlation_distribution, I.returns),
         "cross_residual_volatility": lambda s, d: _residual(s, d),
         "cross_eigenvalues": lambda s, d: I.rounded(_eigen(s, d), ["t"], 5),
+        "cross_eigenvalues_of_two": lambda s, d: I.rounded(_eigen_pair(s, d), ["t"], 5),
         "options_atm_iv": at(options.atm_implied_volatility, I.options),
         "options_skew": at(options.skew, I.options),
         "options_curvature": at(options.curvature, I.options),
@@ -162,6 +163,12 @@ def _eigen(s, d):
     return cross_sectional.leading_covariance_eigenvalues(wide, ["click", "error", "purchase", "signup", "view"])
 
 
+def _eigen_pair(s, d):
+    """Two assets, whose eigenvalues have a closed form."""
+    wide = I.returns(s, d).groupBy("t").pivot("asset", ["click", "view"]).agg(F.first("ret"))
+    return cross_sectional.leading_covariance_eigenvalues(wide, ["click", "view"], n=2)
+
+
 def _implied_correlation(s, d):
     o = I.options(s, d)
     parts = o.groupBy("t", "option_type").agg(F.avg("iv").alias("iv"), F.sum("volume").alias("v"))
@@ -268,4 +275,11 @@ def oracle_sql() -> dict[str, str]:
     o["options_implied_correlation"] = _select(ic, "g", {"implied_correlation": "(index_iv * index_iv - o) / nullif(m, 0) / nullif(w * w - ww, 0)"}, "t")
     rv = full("stddev_samp(ret)", "ret", 21)
     o["options_variance_risk_premium"] = _select(I.RETURNS + f", s AS (SELECT *, ({rv}) * sqrt(252.0) AS rv, volume / 10 AS iv FROM rets)", "s", {"implied_variance": "iv * iv", "realized_variance": "rv * rv", "variance_risk_premium": "iv * iv - rv * rv"}, digits=4)
+    w63 = "(ORDER BY t ROWS 62 PRECEDING)"
+    two = I.RETURNS + f""", wd AS (SELECT t, max(CASE WHEN asset = 'click' THEN ret END) AS a, max(CASE WHEN asset = 'view' THEN ret END) AS b FROM rets GROUP BY t),
+v AS (SELECT t, count(*) OVER {w63} AS n, count(*) OVER {w63} = count(a) OVER {w63} AS fa, count(*) OVER {w63} = count(b) OVER {w63} AS fb, var_samp(a) OVER {w63} AS x, var_samp(b) OVER {w63} AS y, covar_samp(a, b) OVER {w63} AS c FROM wd),
+e AS (SELECT *, (x + y) / 2 + sqrt((x - y) * (x - y) / 4 + c * c) AS l1 FROM v)"""
+    first = "CASE WHEN n < 2 THEN NULL WHEN fa AND fb THEN l1 / nullif(x + y, 0) WHEN fa AND x > 0 OR fb AND y > 0 THEN 1.0::DOUBLE END"
+    second = "CASE WHEN n >= 2 AND fa AND fb THEN greatest(1 - l1 / nullif(x + y, 0), 0) END"
+    o["cross_eigenvalues_of_two"] = f"WITH {two} SELECT t, {r6(5, eigenvalue_share_1=first, eigenvalue_share_2=second)} FROM e"
     return o

@@ -154,6 +154,33 @@ def _ingested(s, d):
     return I.rounded(chain.select("symbol", "hour", "option_type", "strike", "close"), ["symbol", "hour", "option_type"])
 
 
+LIMITED = EQUITY.split("st2 AS")[0].rstrip(", \n") + """, g1 AS (SELECT asset, t, ret, w * CASE WHEN sum(abs(w)) OVER (PARTITION BY t) > 0.8 THEN 0.8::DOUBLE / sum(abs(w)) OVER (PARTITION BY t) ELSE 1 END AS w FROM l),
+n1 AS (SELECT asset, t, ret, w - coalesce(greatest(abs(sum(w) OVER (PARTITION BY t)) - 0.5::DOUBLE, 0) * sign(sum(w) OVER (PARTITION BY t)) / nullif(sum(CAST(w <> 0 AS INT)) OVER (PARTITION BY t), 0), 0) AS w FROM g1),
+g2 AS (SELECT asset, t, ret, w * CASE WHEN sum(abs(w)) OVER (PARTITION BY t) > 0.8 THEN 0.8::DOUBLE / sum(abs(w)) OVER (PARTITION BY t) ELSE 1 END AS w FROM n1),
+po AS (SELECT t, sum(w * ret) AS r FROM g2 GROUP BY t), vo AS (SELECT t, CASE WHEN count(r) OVER k >= 2 THEN stddev_samp(r) OVER k END * sqrt(252.0::DOUBLE) AS v FROM po WINDOW k AS (ORDER BY t ROWS 19 PRECEDING)),
+sc AS (SELECT t, coalesce(lag(CASE WHEN v IS NOT NULL THEN least(0.1::DOUBLE / greatest(v, 0.01), 3) END) OVER (ORDER BY t), 1) AS k, row_number() OVER (ORDER BY t) AS i FROM vo),
+tg AS (SELECT i, list(coalesce(w * k, 0.0::DOUBLE) ORDER BY asset) AS w FROM (SELECT sc.t, sc.i, sc.k, a.asset FROM sc, (SELECT DISTINCT asset FROM g2) a) f LEFT JOIN g2 USING (asset, t) GROUP BY i),
+rc AS (SELECT CAST(0 AS BIGINT) AS i, list_transform(w, lambda x: 0.0::DOUBLE) AS w FROM tg WHERE i = 1
+UNION ALL SELECT i, list_transform(range(1, len(now) + 1), lambda j: was[j] + (now[j] - was[j]) * CASE WHEN turn > 0.3 THEN 0.3::DOUBLE / turn ELSE 1 END / (1 + 0.1::DOUBLE * turn))
+FROM (SELECT *, list_sum(list_transform(range(1, len(now) + 1), lambda j: abs(now[j] - was[j]))) AS turn FROM (SELECT tg.i, tg.w AS now, rc.w AS was FROM rc JOIN tg ON tg.i = rc.i + 1))),
+ord AS (SELECT asset, row_number() OVER (ORDER BY asset) AS j FROM (SELECT DISTINCT asset FROM g2)),
+wl AS (SELECT g2.asset, g2.t, g2.ret, rc.w[ord.j] AS w FROM g2 JOIN sc USING (t) JOIN rc ON rc.i = sc.i JOIN ord ON ord.asset = g2.asset),
+st2 AS (SELECT *, coalesce(abs(w - lag(w) OVER (PARTITION BY asset ORDER BY t)), 0) AS step FROM wl)""" + EQUITY.split("FROM l)")[-1]
+
+
+def _options_sql() -> str:
+    mark = f"CASE WHEN u > 0 THEN g * (spot * {cdf('(g * d1)')} - strike * {cdf('(g * d2)')}) ELSE greatest(g * (spot - strike), 0) END"
+    return f"""WITH {SELECTED}, pr AS (SELECT date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS t, 80 + avg(o_totalprice) / 10000 AS spot FROM orders GROUP BY 1),
+hd AS (SELECT s.*, pr.t AS day, spot, greatest((s.t + round(tenor) - pr.t) / 365.0::DOUBLE, 0) AS u, CASE WHEN option_type = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS g, greatest(iv, 1e-6) AS v FROM sel s JOIN pr ON pr.t BETWEEN s.t AND s.t + greatest(round(tenor), 0)),
+dd AS (SELECT *, (ln(spot / strike) + v * v / 2 * greatest(u, 1e-9)) / (v * sqrt(greatest(u, 1e-9))) AS d1 FROM hd), de AS (SELECT *, d1 - v * sqrt(greatest(u, 1e-9)) AS d2 FROM dd),
+ps AS (SELECT day AS t, sum(100 * ({mark})) AS value, sum(100 * delta) AS delta FROM de GROUP BY 1),
+tc AS (SELECT t, sum((ask - bid) / 2 * 100 + 0.5::DOUBLE) AS trade_cost FROM sel GROUP BY t),
+dy AS (SELECT pr.t, spot, coalesce(value, 0.0::DOUBLE) AS value, coalesce(delta, 0.0::DOUBLE) AS delta, coalesce(trade_cost, 0.0::DOUBLE) AS trade_cost, row_number() OVER (ORDER BY pr.t) - 1 AS i FROM pr LEFT JOIN ps USING (t) LEFT JOIN tc USING (t)),
+sh AS (SELECT *, coalesce(last_value(CASE WHEN i % 5 = 0 THEN -delta END IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 0.0::DOUBLE) AS shares FROM dy),
+fl AS (SELECT t, spot, value, shares, value - coalesce(lag(value) OVER (ORDER BY t), 0) AS op, coalesce(lag(shares) OVER (ORDER BY t) * (spot - lag(spot) OVER (ORDER BY t)), 0) AS hp, trade_cost + abs(shares - coalesce(lag(shares) OVER (ORDER BY t), 0)) * spot * 1.0::DOUBLE / 1e4 AS cost FROM sh)
+SELECT t, {r6(4, spot="spot", value="value", shares="shares", option_pnl="op", hedge_pnl="hp", cost="cost", pnl="op + hp - cost")} FROM fl"""
+
+
 def queries() -> dict:
     q = {
         "pricing_black_scholes": _priced, "pricing_greeks": _greeks, "pricing_implied_volatility": _implied, "pricing_quote_reasons": _reasons, "pricing_no_arbitrage": _bounds, "pricing_normalization": _normalized, "pricing_surface": _surface,
@@ -198,10 +225,13 @@ def oracle_sql() -> dict[str, str]:
         "pricing_normalization": "SELECT 'ORD' || o_orderkey || 'X' AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS expiration, round(o_totalprice, 2) AS strike, CASE WHEN o_orderstatus = 'F' THEN 'call' ELSE 'put' END AS option_type FROM orders",
         "pricing_surface": f"WITH {pts} SELECT t, {r6(5, vol='coalesce(max(CASE WHEN d = 0 THEN vol END), sum(CASE WHEN d > 0 THEN vol / d END) / nullif(sum(CASE WHEN d > 0 THEN 1 / d END), 0))')} FROM z GROUP BY t",
         "backtest_equity": f"WITH {EQUITY} SELECT t, {r6(8, gross_return='g', turnover='turnover', gross='gross', net='net', cost='cost', net_return='g - cost', equity='exp(sum(ln(greatest(1 + g - cost, 1e-12))) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))')} FROM c",
+        "backtest_equity_limits": f"WITH RECURSIVE {LIMITED} SELECT t, {r6(8, gross_return='g', turnover='turnover', gross='gross', net='net', cost='cost', net_return='g - cost', equity='exp(sum(ln(greatest(1 + g - cost, 1e-12))) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))')} FROM c",
+        "backtest_options": _options_sql(),
         "backtest_contract_selection": f"WITH {SELECTED} SELECT t, option_type, {r6(strike='strike', selection_error='err', spread_pct='spread_pct')} FROM sel",
         "backtest_performance_by": f"WITH {SELECTED}, u AS ({stacked}) SELECT \"grouping\", bucket, count(*) AS contracts, {r6(5, pnl='sum(pnl)', mean_pnl='avg(pnl)')} FROM u WHERE bucket IS NOT NULL GROUP BY 1, 2",
         "backtest_rolling_betas": f"WITH {I.MARKET} SELECT asset, t, {r6(beta=f'coalesce(CASE WHEN count({both}) OVER {bw} >= 3 THEN covar_samp(ret, market) OVER {bw} / nullif(var_samp(CASE WHEN TRUE THEN market END) OVER {bw}, 0) END, 0)')} FROM mkt",
         "backtest_factor_exposures": f"WITH {I.MARKET}, b AS (SELECT asset, coalesce(covar_samp(ret, market) / nullif(var_samp(market), 0), 0) AS beta FROM mkt GROUP BY asset) SELECT t, 'm' AS factor, {r6(exposure='sum(1.0::DOUBLE / length(asset) * beta)')} FROM rets JOIN b USING (asset) GROUP BY t",
         "model_switching_volatility": f"WITH {SMALL}, x AS (SELECT asset, t, CASE WHEN ret IS NOT NULL THEN ln(ret * ret + 1e-12) END AS x FROM sm), c AS (SELECT asset, quantile_cont(x, 0.5) AS q FROM x GROUP BY asset) SELECT asset, t, CASE WHEN x IS NOT NULL THEN CAST(x >= q AS INT) END AS state FROM x JOIN c USING (asset)",
+        "model_threshold_autoregression": f"WITH {I.BARS}, l AS (SELECT asset, t, lag(\"close\") OVER (PARTITION BY asset ORDER BY t) AS x FROM bars), c AS (SELECT asset, quantile_cont(x, 0.5) AS q FROM l GROUP BY asset) SELECT asset, t, CASE WHEN x IS NULL THEN -1 ELSE CAST(x >= q AS INT) END AS state FROM l JOIN c USING (asset)",
         "source_mock_chain": f"WITH {I.BARS}, l AS (SELECT 'put' AS option_type, 0.95::DOUBLE AS m UNION ALL SELECT 'call', 1.05::DOUBLE) SELECT asset AS symbol, t AS \"hour\", option_type, {r6(strike=chr(34) + 'close' + chr(34) + ' * m', close=chr(34) + 'close' + chr(34))} FROM bars, l",
     }
