@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import changepoint, rules
-from tessera.operators.models import hmm, other
+from tessera.operators.models import density, hmm, other
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,7 @@ SPECS: dict[str, Spec] = {s.name: s for s in [
     Spec("kmeans", "clustering", lambda df, f, p: other.kmeans_regimes(df, f, **p), {"k": 2, "seeds": 3, "seed": 0}),
     Spec("gaussian-mixture", "clustering", lambda df, f, p: other.mixture_regimes(df, f, **p), {"k": 2, "seed": 0}),
     _series("hierarchical", "clustering", other.hierarchical, k=2, linkage="ward"),
+    _series("hdbscan", "clustering", density.density_states, least=5, k=2, seed=0),
     _series("jump-penalized-kmeans", "clustering", other.jump_segmentation, k=2, penalty=5.0, seed=0),
     _series("ticc", "clustering", lambda x, **p: other.ticc(x, **p)[0], k=2, window=5, penalty=5.0, lasso=0.01, seed=0),
     _series("jump-segmentation", "segmentation", other.jump_segmentation, k=2, penalty=5.0, seed=0, gaussian=True),
@@ -101,8 +102,8 @@ SPECS: dict[str, Spec] = {s.name: s for s in [
     _supervised("logistic", "logistic-classifier"), _supervised("random_forest", "random-forest-classifier"), _supervised("gradient_boosting", "gradient-boosting-classifier"),
     Spec("transition-hazard", "supervised", lambda df, f, p: other.hazard(df, f, p["label"], p["horizon"]).withColumn("state", (F.col("hazard") >= 0.5).cast("int")), {"label": "state", "horizon": 1}, needs_labels=True),
 ]}
-#: Named by the reference, without a way to run here: a placeholder there, or a library that is not at hand.
-ABSENT = ("hdp-hmm", "regime-switching-jump-diffusion", "hdbscan")
+#: Known by name only: nobody has an estimator for them here.
+ABSENT = ("hdp-hmm", "switching-jump-diffusion")
 
 
 def available(family: str | None = None) -> list[str]:

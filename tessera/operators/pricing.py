@@ -31,6 +31,19 @@ def normalize_type(c: Column) -> Column:
     return F.when(u.isin("C", "CALL", "1"), "call").when(u.isin("P", "PUT", "0"), "put").when(c.isNotNull(), F.raise_error(F.concat(F.lit("no option type: "), c.cast("string"))))
 
 
+# The columns of a normalised quote.
+QUOTE = "underlying string, symbol string, expiration date, strike double, option_type string, bid double, ask double, quote_time timestamp, underlying_price double, multiplier double, bid_size double, ask_size double, volume double, open_interest double, adjusted boolean, adjustment_factor double"
+
+
+def quotes(df: DataFrame) -> DataFrame:
+    """``df`` with all columns of a quote, typed; those that it lacks are missing, but for 100 units a contract and no adjustment; mid and its worth beside them."""
+    fields = [c.split() for c in QUOTE.split(", ")]
+    default = {"multiplier": F.lit(100.0), "adjusted": F.lit(False), "adjustment_factor": F.lit(1.0)}
+    have = {n: F.coalesce(F.col(n).cast(t), default.get(n, F.lit(None)).cast(t)) if n in df.columns else default.get(n, F.lit(None)).cast(t) for n, t in fields}
+    q = df.select(*[c.alias(n) for n, c in have.items()])
+    return q.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn("notional_mid", F.col("mid") * F.col("multiplier") * F.col("adjustment_factor"))
+
+
 def normalize_quote(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Each field from the first of its aliases that is there, and typed."""
     out = {}

@@ -18,6 +18,26 @@ METRICS = ("regime_persistence", "switching_frequency", "state_entropy", "probab
 CONTRACT = ("dataset", "features", "validation", "execution_delay", "costs", "target")
 
 
+@dataclass(frozen=True)
+class Descriptor:
+    """What a metric needs, which way is better, and the probabilities it is meant for (``any`` or ``none``: all kinds)."""
+
+    name: str
+    inputs: frozenset[str]
+    direction: str = "diagnostic"
+    probabilities: str = "none"
+    aggregation: str = "mean"
+
+    def compatible(self, available: set[str], probabilities: str = "none") -> bool:
+        return self.inputs <= available and self.probabilities in ("any", "none", probabilities)
+
+
+DESCRIPTORS = {d.name: d for d in (
+    Descriptor("regime_persistence", frozenset({"states"})), Descriptor("switching_frequency", frozenset({"states"})), Descriptor("state_entropy", frozenset({"states"})),
+    Descriptor("probability_entropy", frozenset({"probabilities"}), probabilities="any"), Descriptor("transition_stability", frozenset({"states"}), "minimize"), Descriptor("brier_score", frozenset({"probabilities", "truth"}), "minimize", "filtered"),
+)}
+
+
 class ContractError(ValueError):
     """Two runs that do not answer the same question."""
 

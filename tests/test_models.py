@@ -151,3 +151,43 @@ def test_hazard_without_a_change(spark):
     df = spark.createDataFrame([("a", t, 1, float(t)) for t in range(10)], "asset string, t long, state int, x double")
     assert {r.hazard for r in other.hazard(df, ["x"]).collect()} == {0.0}
     assert states.transition_events(df).agg(F.sum("event")).first()[0] == 0
+
+
+def test_density_clusters_and_noise():
+    from tessera.operators.models import density
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal([0, 0], 0.2, (60, 2)), rng.normal([5, 5], 0.2, (50, 2)), rng.normal([0, 6], 0.2, (40, 2)), [[20.0, -20.0], [-15.0, 12.0]]])
+    order = rng.permutation(len(x))
+    truth = np.repeat([0, 1, 2, -1], [60, 50, 40, 2])[order]
+    lab = density.hdbscan(x[order], 10)
+    assert set(lab[truth == -1]) == {-1} and len({tuple(sorted(set(lab[(truth == k) & (lab >= 0)]))) for k in range(3)}) == 3
+    assert all(np.mean(lab[truth == k] >= 0) > 0.8 for k in range(3))
+    # the tree is least: as long as Kruskal's over all mutual distances
+    y = x[order][:40]
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 5]
+    reach = np.maximum(np.maximum(d, core), core[:, None])
+    up = list(range(40))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    total = 0.0
+    for w, i, j in sorted((reach[i, j], i, j) for i in range(40) for j in range(i)):
+        if root(i) != root(j):
+            up[root(i)] = root(j)
+            total += w
+    assert density._spanning_tree(y, 5)[:, 0].sum() == pytest.approx(total)
+    states_ = density.density_states(x[order], 10)
+    assert states_.min() == 0 and len(set(states_)) == 3
+    assert set(density.density_states(rng.normal(size=(6, 1)), 5)) <= {0, 1}
+
+
+def test_quotes_have_all_columns(spark):
+    from tessera.operators import pricing
+
+    got = pricing.quotes(spark.createDataFrame([("SPY260116C00450000", 10.0, 10.4, 0.5)], "symbol string, bid double, ask double, adjustment_factor double")).first()
+    assert got.mid == pytest.approx(10.2) and got.notional_mid == pytest.approx(510.0) and got.multiplier == 100.0 and got.volume is None and got.adjusted is False

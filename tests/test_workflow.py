@@ -182,3 +182,35 @@ def test_command_line(tmp_path, capsys):
     assert experiments.main(["plan", str(tmp_path / "s.yaml")]) == 0 and "evaluation after features" in capsys.readouterr().out
     (tmp_path / "i.yaml").write_text(json.dumps({"symbols": ["x"], "domains": ["rates"]}))
     assert experiments.main(["ingest", str(tmp_path / "i.yaml"), "--output", str(tmp_path / "o")]) == 0 and (tmp_path / "o" / "rates").exists()
+
+
+def test_protocols_and_runtime(spark):
+    from tessera import protocols, runtime
+    from tessera.operators import changepoint
+
+    assert isinstance(changepoint.cusum, protocols.Detector) and isinstance(runtime.SparkMapper(spark), protocols.Mapper)
+    assert issubclass(protocols.Unsupported, NotImplementedError)
+    with pytest.raises(protocols.Unsupported):
+        protocols.PanelModel().smooth(None)
+    assert list(runtime.chunked(range(5), 2)) == [[0, 1], [2, 3], [4]]
+    assert [c.shape for c in runtime.array_chunks(np.zeros((5, 3)), 2, 1)] == [(5, 2), (5, 1)] and [len(c) for c in runtime.array_chunks(np.zeros(5), 2)] == [2, 2, 1]
+    assert runtime.run_batch(lambda x: x * x, [3, 1, 2], runtime.SparkMapper(spark, 2)) == [9, 1, 4] == runtime.run_batch(lambda x: x * x, [3, 1, 2])
+    assert list(runtime.SparkMapper(spark).map(len, [])) == []
+    calls = []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError("again")
+        return x
+
+    assert runtime.Retryable(flaky, 3, 0.0)(7) == 7 and len(calls) == 3
+    with pytest.raises(ValueError):
+        list(runtime.chunked([1], 0))
+
+
+def test_metric_descriptors():
+    assert set(runner.DESCRIPTORS) == set(runner.METRICS)
+    d = runner.DESCRIPTORS["brier_score"]
+    assert d.compatible({"probabilities", "truth", "states"}, "filtered") and not d.compatible({"probabilities", "truth"}, "smoothed") and not d.compatible({"truth"}, "filtered")
+    assert runner.DESCRIPTORS["probability_entropy"].compatible({"probabilities"}, "smoothed")
