@@ -14,11 +14,23 @@ def every(df: DataFrame) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def released(run):
+    """``run`` over batches, and what Arrow keeps for reuse given back at its end, as workers go on to other stages."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def map_in_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """``df.mapInArrow`` by place and not by name, as names may hold dots."""
     plain = lambda n: [f"c{i}" for i in range(n)]
     fields = [T.StructField(c, f.dataType) for c, f in zip(plain(len(schema)), schema, strict=True)]
-    return df.toDF(*plain(len(df.columns))).mapInArrow(run, T.StructType(fields)).toDF(*schema.names)
+    return df.toDF(*plain(len(df.columns))).mapInArrow(released(run), T.StructType(fields)).toDF(*schema.names)
 
 
 def with_uid(df: DataFrame, id_col: str, order: list[str], uid: str = "_uid") -> tuple[DataFrame, bool]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.durable import durable, free_names, partitions_for
-from tessera.llm.graph import components, every, with_uid
+from tessera.llm.graph import components, every, released, with_uid
 
 N = 5
 THRESHOLD = 0.8
@@ -173,7 +173,7 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sketch = [None if m is None else m.tobytes() for _, m in sigs]
                 yield pa.RecordBatch.from_arrays([uid.slice(at, len(some)), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([b for b, _ in sigs], pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["_uid", "digest", "grams", "bands", "sketch"])
 
-    return texts.mapInArrow(run, "_uid long, digest binary, grams long, bands array<long>, sketch binary")
+    return texts.mapInArrow(released(run), "_uid long, digest binary, grams long, bands array<long>, sketch binary")
 
 
 def agreeing(sketch: np.ndarray, group: np.ndarray, place: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +239,7 @@ def sketched(work: DataFrame, rows: int, least: int) -> DataFrame:
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(released(run), "a long, b long")
 
 
 def linked(sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, sketch: np.ndarray, least: int, lo: int, hi: int, threshold: float):
@@ -331,7 +331,7 @@ def verified(work: DataFrame, threshold: float, least: int) -> DataFrame:
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "links"])
 
-    return work.mapInArrow(run, "a long, b long, links long")
+    return work.mapInArrow(released(run), "a long, b long, links long")
 
 
 def blocked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -407,7 +407,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
                 sets = [s.tobytes() for s in hasher(some)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(some)).columns[:5], pa.array(sets, pa.binary())], ["cluster", "blocks", "node", "n", "sketch", "grams"])
 
-    made = work.mapInArrow(grams, "cluster long, blocks int, node long, n long, sketch binary, grams binary")
+    made = work.mapInArrow(released(grams), "cluster long, blocks int, node long, n long, sketch binary, grams binary")
     dealt = blocked(made, ["cluster"]).select("cluster", "i", "j", "block", "node", "n", "sketch", "grams", "blocks")
     dealt = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     found = durable(verified(dealt, threshold, least))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.graph import released
+
 RATE = 16_000
 UP, DOWN = 3, 4
 TAPS = 12
@@ -196,7 +198,7 @@ def audio_features(docs: DataFrame, keep: bool = True, id_col: str = "doc_id", t
                 yield done(*held)
 
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return t.mapInArrow(run, DIGEST + (f", {KEPT}" if keep else ""))
+    return t.mapInArrow(released(run), DIGEST + (f", {KEPT}" if keep else ""))
 
 
 def tensor_streams(features: DataFrame) -> DataFrame:
@@ -210,7 +212,7 @@ def tensor_streams(features: DataFrame) -> DataFrame:
                 tensors = np.array(part.column(1).to_pylist(), np.float32).reshape(-1, *SHAPE)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([to_stream(tensor_batch(tensors, spans))], pa.binary())], ["doc_ids", "stream"])
 
-    return features.select("doc_id", "log_mel", "spans").mapInArrow(run, "doc_ids array<long>, stream binary")
+    return features.select("doc_id", "log_mel", "spans").mapInArrow(released(run), "doc_ids array<long>, stream binary")
 
 
 def op6_audio_features(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.durable import durable
+from tessera.llm.graph import released
 
 CAPACITY = 1024
 END_ID = 2
@@ -106,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: dict | str = "byte_bpe_50k.json", capaci
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(cut), PIECES)
 
 
 @dataclass
@@ -273,7 +274,7 @@ def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_I
                 off[at] = rows[k, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), f"{PIECES}, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
