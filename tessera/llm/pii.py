@@ -5,7 +5,8 @@ disguise are also rewritten by a transducer whose output pieces keep the source
 interval they came from: homoglyphs and full-width forms to ASCII, invisible
 characters to nothing, spelled digits to digits, bracketed or spelled-out "at" and
 "dot" to their signs.  Detections on the rewritten form map back to source
-intervals and are added where no base span of their kind overlaps.
+intervals and are added where no base span of their kind overlaps, or where they
+reach further than those do (not to the left over a dash, which prose sets between words).
 
 Edge cases: null texts count as empty; repeated rows give repeated results;
 columns beyond the id and the text pass through ``redact`` and are ignored by
@@ -40,6 +41,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 GLYPHS = {c: k for k, cs in LOOKALIKES.items() for c in cs} | {chr(0xFEE0 + k): chr(k) for k in range(0x21, 0x7F)} | dict.fromkeys(INVISIBLE, "")
+DASH = re.compile("[" + LOOKALIKES["-"] + "]")
 GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
 WORDS = "|".join(SPELLED)
 DIGITS = re.compile(rf"(?i)\b(?:{WORDS})(?:[\x20-]{{1,2}}(?:{WORDS}))+\b")
@@ -191,7 +193,8 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     more = set()
     for kind, a, b in base_spans(plain.text):
         lo, hi = plain.source(a, b)
-        if not any(k == kind and lo < e and s < hi for k, s, e in base):
+        over = [(s, e) for k, s, e in base if k == kind and lo < e and s < hi]
+        if not over or lo < min(over)[0] and not DASH.search(text, lo, min(over)[0]) or hi > max(e for _, e in over):
             more.add((kind, lo, hi))
     return base, sorted([*base, *more])
 

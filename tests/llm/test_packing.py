@@ -105,3 +105,22 @@ def test_dominance_keeps_the_optimum(seed):
     left = Counter(sizes)
     fixed = packing.dominance_reduction(left, cap)
     assert sum(b.n for b in fixed) + exact_bins(list(left.elements()), cap) == exact_bins(sizes, cap)
+
+
+def test_both_libraries_agree_over_all_plain_characters():
+    """Every character that takes the faster library: alone, between others of each class, and in random runs."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    given = packing.public_vocabulary()
+    fast, slow = packing.Encoder(**given), Tokenizer.from_file(given["path"])
+    plain = [chr(c) for c in range(0x2100) if not packing.PLAIN.search(chr(c))]
+    assert len(plain) > 250
+    rng = random.Random(11)
+    texts = [p.format(c) for c in plain for p in ("{0}", "a{0}b", "1{0}2", " {0} ", "{0}{0}{0}", "\n{0}\r\n", "'{0}", "{0}'s", "-{0} x")]
+    texts += ["".join(rng.choice(plain) if rng.random() < 0.5 else rng.choice("abcXYZ 019\n\t'.,") for _ in range(300)) for _ in range(300)]
+    for t in texts:
+        assert not packing.PLAIN.search(t) or "<|" in t
+        if "<|" not in t:
+            assert fast(t) == np.asarray(slow.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t

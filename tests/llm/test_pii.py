@@ -103,3 +103,41 @@ def test_redact_keeps_columns_of_any_name(spark):
     got = pii.redact(docs)
     assert got.columns == docs.columns and sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "a <EMAIL>", 5, "z"), (None, None, None, None), (1, "a <EMAIL>", 5, "z"), (2, "", 1, "")], key=str)
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def _luhn_number(rng, n):
+    body = [rng.randrange(1, 10) for _ in range(n - 1)]
+    total = sum(d if (n - 2 - i) % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(body))
+    return "".join(map(str, [*body, -total % 10]))
+
+
+def test_planted_disguises_map_back_to_their_source():
+    import random
+
+    rng = random.Random(12)
+    wide = {str(k): chr(0xFF10 + k) for k in range(10)}
+    spelled = {v: k for k, v in pii.SPELLED.items() if k != "oh"}
+    at = ["@", " [at] ", "(at)", " at ", "＠"]
+    dot = [".", " [dot] ", "(dot)", " dot ", "․"]
+    looks = {k: v for k, v in pii.LOOKALIKES.items() if k.isalpha()}
+    found = 0
+    for _ in range(600):
+        kind = rng.choice(["email", "card", "phone"])
+        if kind == "email":
+            name = f"{rng.choice(['ann', 'bob', 'eva'])}.{rng.choice(['moss', 'pike'])}{rng.randrange(10)}"
+            if rng.random() < 0.4:
+                name = "".join(rng.choice(looks[c]) if c in looks and rng.random() < 0.4 else c for c in name)
+            item = name + rng.choice(at) + rng.choice(["site", "post"]) + rng.choice(dot) + "org"
+        elif kind == "card":
+            n = _luhn_number(rng, 16)
+            form = rng.randrange(3)
+            item = rng.choice("‐‑–−").join(n[k : k + 4] for k in range(0, 16, 4)) if form == 0 else "".join(wide[c] for c in n) if form == 1 else " ".join(spelled[c] for c in n)
+        else:
+            item = "+" + rng.choice("‑–").join("".join(rng.choice("123456789") for _ in range(k)) for k in (2, 3, 4, 3))
+        before, after = rng.choice(["", "Näme: ", "see <", "x\n"]), rng.choice(["", " now", ">\n", " ü"])
+        text = before + item + after
+        spans = {(pii.KINDS[k], a, b) for k, a, b in pii.all_spans(text)[1]}
+        assert (kind, len(before), len(before) + len(item)) in spans, (text, spans)
+        assert pii.redacted(text) == before + f"<{kind.upper()}>" + after
+        found += 1
+    assert found == 600
